@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import leakage, mixing, neighbours
+from siftwell.llm import credentials, leakage, mixing, neighbours, parsing
 from siftwell.session import table
 
 
@@ -29,6 +29,32 @@ def p1_embeddings_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.mutual_pairs(table(spark, d, "embeddings"), min_cos=0.5)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    places = credentials.credential_places(table(spark, d, "chunks"))
+    return places.select("workspace_id", "filepath", "line_no").distinct()
+
+
+def p3_places(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credential_places(table(spark, d, "chunks"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_files(table(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    files = parsing.parse_files(table(spark, d, "chunks"))
+    return files.filter("edit_cost > 0").select("workspace_id", "filepath")
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_files(table(spark, d, "chunks"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.parse_rates(table(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
