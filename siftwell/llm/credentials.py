@@ -218,44 +218,17 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
             found[a] = (kind, spans)
             taken.extend(spans)
 
-    done = 0
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    for end, _ in _automaton().iter(low):
-        if end < done:
-            continue
-        a = text.rfind("\n", 0, end) + 1
-        z = text.find("\n", end)
-        z = done = len(text) if z < 0 else z
-        line = text[a:z]
-        if "-----BEGIN" in line:
-            for m in _PRIVATE.finditer(text, a, z):
-                stop = text.find("-----END", m.end())
-                body = text[m.end() : stop if 0 <= stop - m.end() < 20_000 else m.end() + 400]
-                if sum(len(x) for x in re.findall(r"[A-Za-z0-9+/]{16,}", body.replace("\\n", "\n"))) >= 24 and not harmless(re.sub(r"[\s\\n\"'+#]", "", body[:200])):
-                    add("private key", [(m.start(), m.end()), (m.end(), m.end() + len(body))])
-            if "PUBLIC" in line or "CERTIFICATE" in line:
-                continue
-        for m in _ISSUER.finditer(text, a, z):
-            if is_issued(m.group()):
-                add("issued token", [m.span()])
-        if "://" in line:
-            for m in _URL.finditer(text, a, z):
-                if not harmless(m.group(2)) and not REFERENCE.match(m.group(2)):
-                    add("login in URL", [m.span(2)])
-        for m in _HEADER.finditer(text, a, z):
-            if is_login_header(m.group(1), m.group(2)):
-                add("login in header", [m.span(2)])
-        if not names:
-            continue
+    def assigned(a: int, z: int, line: str) -> None:
         comment = _COMMENT.match(line)
         bare = not code or comment is not None
         if code and not comment and not any(q in line for q in "\"'`") and not line.rstrip().endswith(("=", "(", "\\")):
-            continue
+            return
         if m := _LOGIN.search(text, a, z):
             if is_secret(m.group(1), 1):
                 add("login", [m.span(1)])
+        if (start := a + len(line) - len(line.lstrip())) < z and text[start] in "\"'`" and (got := _literal(text, start)) and len(got[1]) > 1:
+            if (x := _ISSUER.fullmatch(got[0])) and is_issued(x.group()):
+                add("assigned secret", got[1])
         at = a
         while (m := _PAIR.search(text, at, min(len(text), z + 200))) and m.start() < z:
             at = m.end("k") + 1
@@ -281,7 +254,39 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
                     continue
                 if not any(c in value for c in "(){}[]<>") and is_secret(value, kind):
                     add("assigned secret", [(v.start(), v.start() + len(value))])
-        if not found or a not in found:
+
+    done = 0
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for end, _ in _automaton().iter(low):
+        if end < done:
+            continue
+        a = text.rfind("\n", 0, end) + 1
+        z = text.find("\n", end)
+        z = done = len(text) if z < 0 else z
+        line = text[a:z]
+        if "-----BEGIN" in line:
+            for m in _PRIVATE.finditer(text, a, z):
+                stop = text.find("-----END", m.end())
+                body = text[m.end() : stop if 0 <= stop - m.end() < 20_000 else m.end() + 400]
+                if sum(len(x) for x in re.findall(r"[A-Za-z0-9+/]{16,}", body.replace("\\n", "\n"))) >= 24 and not harmless(re.sub(r"[\s\\n\"'+#]", "", body[:200])):
+                    add("private key", [(m.start(), m.end()), (m.end(), m.end() + len(body))])
+            if "PUBLIC" in line or "CERTIFICATE" in line:
+                continue
+        if names:
+            assigned(a, z, line)
+        for m in _ISSUER.finditer(text, a, z):
+            if is_issued(m.group()):
+                add("issued token", [m.span()])
+        if "://" in line:
+            for m in _URL.finditer(text, a, z):
+                if not harmless(m.group(2)) and not REFERENCE.match(m.group(2)):
+                    add("login in URL", [m.span(2)])
+        for m in _HEADER.finditer(text, a, z):
+            if is_login_header(m.group(1), m.group(2)):
+                add("login in header", [m.span(2)])
+        if "=" in line or ":" in line:
             for m in _BASE64.finditer(text, a, z):
                 plain = _decoded(m.group()) if len(m.group()) % 4 == 0 else None
                 if plain and ((x := _ISSUER.search(plain)) and is_issued(x.group()) or (x := _URL.search(plain)) and not harmless(x.group(2)) or _PRIVATE.search(plain)):
