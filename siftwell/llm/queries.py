@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import credentials, leakage, mixing, neighbours, parsing
+from siftwell.llm import credentials, leakage, mixing, neighbours, parsing, provenance
 from siftwell.session import table
 
 
@@ -42,6 +42,19 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted_files(table(spark, d, "chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    files = provenance.file_origins(table(spark, d, "chunks"), table(spark, d, "upstream_files"))
+    return files.filter("origin <> 'written'").select("workspace_id", "filepath")
+
+
+def p4_origins(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.file_origins(table(spark, d, "chunks"), table(spark, d, "upstream_files"))
+
+
+def p4_written(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.hand_written(table(spark, d, "chunks"), table(spark, d, "upstream_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     files = parsing.parse_files(table(spark, d, "chunks"))
     return files.filter("edit_cost > 0").select("workspace_id", "filepath")
