@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import credentials, leakage, mixing, neighbours, parsing, provenance
+from siftwell.llm import credentials, leakage, mixing, neighbours, parsing, prose, provenance
 from siftwell.session import table
 
 
@@ -29,6 +29,15 @@ def p1_embeddings_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.mutual_pairs(table(spark, d, "embeddings"), min_cos=0.5)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    prose_of = prose.file_prose(table(spark, d, "chunks"), table(spark, d, "documents"))
+    return prose_of.select("workspace_id", "filepath", "nl_lang")
+
+
+def p2_prose(spark: SparkSession, d: str) -> DataFrame:
+    return prose.file_prose(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     places = credentials.credential_places(table(spark, d, "chunks"))
     return places.select("workspace_id", "filepath", "line_no").distinct()
