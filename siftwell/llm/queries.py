@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import credentials, leakage, mixing, neighbours, parsing, prose, provenance
+from siftwell.llm import credentials, garbled, leakage, mixing, neighbours, parsing, prose, provenance
 from siftwell.session import table
 
 
@@ -102,6 +102,20 @@ def p7_source_totals(spark: SparkSession, d: str) -> DataFrame:
     return mixing.source_totals(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.repaired_documents(table(spark, d, "documents"))
+
+
+def p8_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents by source and chain."""
+    cases = garbled.judged(table(spark, d, "documents")).filter("clean < 0.5")
+    return cases.groupBy("source", "chain").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
