@@ -106,12 +106,12 @@ def plan_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     A mix has one row per source, so the rows of a mix are gathered into one for the bisection;
     documents are only summed."""
     by_source = source_totals(documents)
-    whole = by_source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("all_tokens"))
+    whole = float(by_source.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     wanted = (
         _clean(targets)
         .join(by_source.filter("source IS NOT NULL"), "source", "left")
-        .crossJoin(F.broadcast(whole))  # one row
         .withColumn("tokens", F.coalesce(F.col("tokens"), F.lit(0)).cast("double"))
+        .withColumn("all_tokens", F.lit(whole))
     )
     number = ["weight", "max_repeats", "budget_share", "tokens", "all_tokens"]
     return wanted.select("mix_id", "source", *number).groupBy("mix_id").applyInPandas(_solve, _plan_schema(targets))
