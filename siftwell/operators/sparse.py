@@ -11,6 +11,7 @@ Null contents have no terms; ties rank by id.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -87,13 +88,14 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _phrase_count(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase stands in an array of words."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - len(phrase) + 1, F.lit(1)))
-    same = lambda i: F.slice(words, i, len(phrase)) == F.array(*map(F.lit, phrase))
-    return F.when(F.size(words) >= len(phrase), F.size(F.filter(at, same))).otherwise(0)
+def _spaced(words: list[str]) -> str:
+    return " " + "  ".join(words) + " "
+
+
+def _phrase_count(spaced: Column, phrase: list[str]) -> Column:
+    """How often the phrase stands in a text of terms, each between two blanks of its own."""
+    wanted = _spaced(phrase)
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
 
 
 def bm25(docs: DataFrame, tokens: list[str], id_col: str, text_col: str, where: Column | None = None) -> DataFrame:
@@ -104,27 +106,33 @@ def bm25(docs: DataFrame, tokens: list[str], id_col: str, text_col: str, where:
     phrases = [p for t in tokens if (p := terms_of(t))]
     if not phrases:
         return docs.withColumn("bm25_score", F.lit(0.0)).filter(F.lit(False))
-    # the terms are bound as a lambda's variable: as a plain column the optimizer would inline them into every use
-    tallied = F.transform(
+    # the terms are bound as a lambda's variable and exploded: as plain columns the optimizer would inline the
+    # expression that splits the text into every use
+    spaced = F.transform(
         F.array(F.coalesce(terms_col(F.col(text_col)), F.array().cast("array<string>"))),
-        lambda w: F.struct(F.size(w).alias("len"), *(_phrase_count(w, p).alias(f"f{i}") for i, p in enumerate(phrases))),
+        lambda w: F.struct(F.size(w).alias("len"), F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("text")),
+    )
+    rows = docs.withColumn("__t", F.explode(spaced))
+    counted = rows.select(
+        *docs.columns, F.col("__t.len").alias("__len"), *(_phrase_count(F.col("__t.text"), p).alias(f"__f{i}") for i, p in enumerate(phrases))
     )
-    rows = docs.withColumn("__t", F.explode(tallied))
-    counted = rows.select(*docs.columns, F.col("__t.len").alias("__len"), *(F.col(f"__t.f{i}").alias(f"__f{i}") for i in range(len(phrases))))
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"), *(F.count(F.when(F.col(f"__f{i}") > 0, 1)).alias(f"df{i}") for i in range(len(phrases)))
     ).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        score = score + _weight(F.lit(float(stats["n"])), F.lit(float(stats[f"df{i}"])), F.col(f"__f{i}"), F.col("__len"), F.lit(stats["avg"] or 1.0))
+        if stats[f"df{i}"]:
+            score = score + _weight(_idf(stats["n"], stats[f"df{i}"]), F.col(f"__f{i}"), F.col("__len"), stats["avg"] or 1.0)
     any_hit = F.greatest(*(F.col(f"__f{i}") for i in range(len(phrases))), F.lit(0)) > 0
     hit = counted.filter(any_hit if where is None else any_hit & where)
     return hit.select(*docs.columns, (-score).alias("bm25_score"))
 
 
-def _weight(n: Column, df: Column, f: Column, length: Column, average: Column) -> Column:
-    raw = F.log((n - df + 0.5) / (df + 0.5))
-    idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
+def _idf(n: int, df: int) -> float:
+    return max(LEAST_IDF, math.log((n - df + 0.5) / (df + 0.5)))
+
+
+def _weight(idf: float, f: Column, length: Column, average: float) -> Column:
     return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))).otherwise(0.0)
 
 
@@ -154,7 +162,8 @@ def bm25_from_postings(postings: DataFrame, tokens: list[str], workspace: str |
     dfs = counted.agg(*(F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"d{i}") for i in range(len(phrases)))).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        score = score + _weight(F.lit(float(n)), F.lit(float(dfs[i])), F.col(f"f{i}"), F.col("doc_len"), F.lit(float(average)))
+        if dfs[i]:
+            score = score + _weight(_idf(n, dfs[i]), F.col(f"f{i}"), F.col("doc_len"), float(average))
     hits = counted.filter(F.greatest(*(F.col(f"f{i}") for i in range(len(phrases))), F.lit(0)) > 0)
     return hits.select("chunk_id", (-score).alias("bm25_score"))
 

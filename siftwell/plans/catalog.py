@@ -298,7 +298,7 @@ def _path_query(name: str, wanted: str, condition: str) -> None:
     query(f"SELECT DISTINCT filepath FROM chunks WHERE {condition}")(run)
 
 
-_path_query("path_filter_dir", "gateway/src/socket", "starts_with(filepath, 'src/socket/') OR starts_with(filepath, 'gateway/src/socket/')")
+_path_query("path_filter_dir", "gateway/src/codegen", "starts_with(filepath, 'src/codegen/') OR starts_with(filepath, 'gateway/src/codegen/')")
 _path_query("path_filter_basename", "config.go", "filepath = 'config.go' OR suffix(filepath, '/config.go')")
 
 
