@@ -155,7 +155,8 @@ def bm25_from_postings(postings: DataFrame, tokens: list[str], workspace: str |
     def count(phrase: list[str]) -> Column:
         first = F.coalesce(F.try_element_at("m", F.lit(phrase[0])), none)
         for i, t in enumerate(phrase[1:], 1):
-            first = F.array_intersect(first, F.transform(F.coalesce(F.try_element_at("m", F.lit(t)), none), lambda x, i=i: x - i))
+            back = F.lit(i)
+            first = F.array_intersect(first, F.transform(F.coalesce(F.try_element_at("m", F.lit(t)), none), lambda x: (x - back).cast("int")))
         return F.size(first)
 
     counted = doc.select("chunk_id", "doc_len", *(count(p).alias(f"f{i}") for i, p in enumerate(phrases)))
