@@ -74,10 +74,15 @@ _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY(?: BLOCK)?-----")
 _LOGIN = re.compile(r"(?i)\b(?:log[-_ ]?in|credentials?|user(?:name)?|anmeldung|acceso|конто)\b\s*[:=]\s*[\w.@\-]+\s*[/|]\s*(\S+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
 _TYPE = r"(?:\s*:\s*&?(?:'\w+\s+)?[A-Za-z_][\w.:]*(?:<[^<>=]*>|\[\])?(?:\s*\|\s*\w+)?\??\s*(?==))?"
-_PAIR = re.compile(
-    r"(?P<k>[^\W\d][\w.\-]*)(?P<q>[\"'`]?)\]?" + _TYPE + r"\s*(?P<s>:=|=>|=(?![=>])|:(?![:=/])|,(?=\s*[\"'`]))[ \t]*"
+_KEY = r"(?P<k>[^\W\d][\w.\-]*)(?P<q>[\"'`]?)\]?"
+_SET = (
+    r"\s*(?P<s>:=|=>|=(?![=>])|:(?![:=/])|,(?=\s*[\"'`]))[ \t]*"
     r"(?P<o>(?:new\s+)?(?:(?P<f>[\w.:!\[\]]*)\([ \t]*)?(?:\\?\r?\n\s*)?)"
 )
+#: Name and sign of assignment, in code with a type between them.
+_PAIR, _PAIR_CODE = re.compile(_KEY + _SET), re.compile(_KEY + _TYPE + _SET)
+#: A name and its value as two entries, one below the other.
+_NAMED = re.compile(r"\bname[\"']?\s*[:=]\s*[\"']?([\w.\-]+)[\"']?,?[ \t]*\r?\n?[ \t\-]*[\"']?value[\"']?\s*[:=][ \t]*", re.I)
 _LITERAL = re.compile(r'(?:[rRbBuUfF]{1,2}|@)?(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\'|"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`|r#"([\s\S]*?)"#)')
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.(?=\s*[\"'])|\\\r?\n)?\s*(?=[\"'`])")
 _BARE = re.compile(r"[^\s#;,][^\s;,]*")
@@ -229,16 +234,19 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
         if (start := a + len(line) - len(line.lstrip())) < z and text[start] in "\"'`" and (got := _literal(text, start)) and len(got[1]) > 1:
             if (x := _ISSUER.fullmatch(got[0])) and is_issued(x.group()):
                 add("assigned secret", got[1])
-        at = a
-        while (m := _PAIR.search(text, at, min(len(text), z + 200))) and m.start() < z:
+        if not code and (m := _NAMED.search(text, a, min(len(text), z + 200))) and m.start() < z and (kind := name_class(m.group(1))):
+            got = _literal(text, m.end())
+            if got and is_secret(got[0], kind):
+                add("assigned secret", got[1])
+            elif not got and (v := _BARE.match(text, m.end())) and is_secret(v.group(), kind) and not any(c in v.group() for c in "(){}[]<>"):
+                add("assigned secret", [v.span()])
+        at, pair = a, _PAIR_CODE if code else _PAIR
+        while (m := pair.search(text, at, min(len(text), z + 200))) and m.start() < z:
             at = m.end("k") + 1
             name = m.group("k")
             kind = name_class(name)
             if m.group("s") == "," and not (kind and m.group("q")):
                 continue
-            if not kind and name.lower() == "value" and not code:
-                above = re.search(r"name[\"']?\s*[:=]\s*[\"']?([\w.\-]+)", text[max(0, text.rfind("\n", 0, max(0, a - 1))) : a])
-                kind = name_class(above.group(1)) if above else 0
             if "\n" in m.group("o") and not code or m.group("f") and m.group("f") not in WRAPPERS:
                 continue
             got = _literal(text, m.end())
