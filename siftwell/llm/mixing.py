@@ -96,7 +96,7 @@ def temperature_shares(totals: DataFrame, entropy: float) -> DataFrame:
         return pd.DataFrame({"source": rows.source, "share": at(alpha), "alpha": alpha})
 
     rows = totals.filter("source IS NOT NULL AND tokens > 0").select("source", F.col("tokens").cast("double"))
-    return rows.groupBy(F.lit(0)).applyInPandas(solve, "source string, share double, alpha double")
+    return rows.groupBy().applyInPandas(solve, "source string, share double, alpha double")
 
 
 def plan_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 0) -> DataF
     )
     whole = Window.partitionBy("mix_id")
     rows = plan_mix(documents, targets).join(chosen, ["mix_id", "source"], "left").fillna(0, ["chosen_tokens", "chosen_rows"])
-    reached = F.col("chosen_tokens") / F.sum("chosen_tokens").over(whole)
+    reached = F.try_divide(F.col("chosen_tokens"), F.sum("chosen_tokens").over(whole))
     return rows.withColumn("reached_share", F.coalesce(reached, F.lit(0.0))).withColumn(
         "repeats", F.when(F.col("source_tokens") > 0, F.col("chosen_tokens") / F.col("source_tokens")).otherwise(0.0)
     )
