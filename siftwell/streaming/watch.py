@@ -29,7 +29,7 @@ def clean_events(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type").isin("created", "modified", "deleted"), F.col("event_type")).otherwise("modified")
     rows = events.select(
         "event_id", "workspace_id", clean_path_col(F.col("path")).alias("path"), kind.alias("event_type"), "event_ts", "arrived_at"
-    ).filter("workspace_id IS NOT NULL AND path <> '' AND event_ts IS NOT NULL")
+    ).filter("workspace_id IS NOT NULL AND path <> '' AND event_ts IS NOT NULL AND NOT isnan(event_ts) AND abs(event_ts) < 1e15")
     first = F.min(F.struct("arrived_at", "workspace_id", "path", "event_type", "event_ts"))
     once = rows.filter(~ignored_event_path(F.col("path"))).groupBy("event_id").agg(first.alias("r"))
     return once.select("event_id", "r.workspace_id", "r.path", "r.event_type", "r.event_ts", "r.arrived_at")
