@@ -192,11 +192,7 @@ def block_spans_col(text_col: str = "text"):
     """Column form of the fallback: array of (start_line, end_line, chars) of greedy line packing, in the JVM.
 
     Lines end at ``\\n``, as after decoding; a last line without one counts."""
-    lines = F.expr(
-        f"transform(filter(sequence(1, size(split({text_col}, '\\n'))), i -> i < size(split({text_col}, '\\n')) OR "
-        f"element_at(split({text_col}, '\\n'), i) <> ''), i -> length(element_at(split({text_col}, '\\n'), i)) + "
-        f"CASE WHEN i < size(split({text_col}, '\\n')) THEN 1 ELSE 0 END)"
-    )
+    lines = F.filter(F.split(text_col, r"(?<=\n)"), lambda x: F.length(x) > 0)
     start = F.struct(
         F.array().cast("array<struct<start_line:int,end_line:int,chars:int>>").alias("done"),
         F.lit(1).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("chars"),
@@ -205,7 +201,8 @@ def block_spans_col(text_col: str = "text"):
     def block(s):
         return F.array(F.struct(s["first"].alias("start_line"), s["last"].alias("end_line"), s["chars"].alias("chars")))
 
-    def step(s, n):
+    def step(s, line):
+        n = F.length(line)
         full = (s["chars"] > 0) & (s["chars"] + n > BLOCK_CHARS)
         return F.struct(
             F.when(full, F.concat(s["done"], block(s))).otherwise(s["done"]).alias("done"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from siftwell.functions.vectors import masked_mean, unit_rows
+from siftwell.functions.vectors import unit_rows
+from siftwell.session import spread
 
 MAX_TOKENS = 2048
 
@@ -31,6 +33,13 @@ class Embedder(Protocol):
     def embed(self, batch: list[list[int]]) -> np.ndarray: ...
 
 
+@lru_cache(100_000)
+def _word_ids(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its camel-case pieces."""
+    parts = {word.lower(): None} | {p.lower(): None for p in re.findall(r"[A-Z]?[a-z]+|\d+", word)}
+    return tuple(xxhash.xxh3_64_intdigest(p) for p in parts)
+
+
 class HashEmbedder:
     """Signed hashing of words and their pieces."""
 
@@ -38,27 +47,19 @@ class HashEmbedder:
         self.dim = dim
 
     def tokens(self, text: str) -> list[int]:
-        words = re.findall(r"[^\W_]+", text)
-        parts = [p for w in words for p in {w.lower(), *(x.lower() for x in re.findall(r"[A-Z]?[a-z]+|\d+", w))}]
-        return [xxhash.xxh3_64_intdigest(p) for p in parts][:MAX_TOKENS]
+        return [i for w in re.findall(r"[^\W_]+", text) for i in _word_ids(w)][:MAX_TOKENS]
 
     def embed(self, batch: list[list[int]]) -> np.ndarray:
-        width = max(map(len, batch), default=0)
-        if not width:
+        """Mean of the tokens' signed unit buckets, scaled to length 1; the zero vector for none."""
+        counts = np.array([len(x) for x in batch])
+        if not counts.sum():
             return np.zeros((len(batch), self.dim), np.float32)
-        hidden = np.zeros((len(batch), width, 2), np.int64)
-        mask = np.zeros((len(batch), width))
-        for i, ids in enumerate(batch):
-            a = np.array(ids, np.uint64)
-            hidden[i, : len(a), 0] = a % np.uint64(self.dim)
-            hidden[i, : len(a), 1] = np.where(a >> np.uint64(63), 1, -1)
-            mask[i, : len(a)] = 1
-        out = np.zeros((len(batch), self.dim))
-        for i in range(len(batch)):
-            n = int(mask[i].sum())
-            np.add.at(out[i], hidden[i, :n, 0], hidden[i, :n, 1])
-        pooled = masked_mean(out[:, None, :], np.ones((len(batch), 1)))
-        return unit_rows(pooled).astype(np.float32)
+        ids = np.concatenate([np.array(x, np.uint64) for x in batch])
+        rows = np.repeat(np.arange(len(batch)), counts)
+        sign = np.where(ids >> np.uint64(63), 1.0, -1.0)
+        cell = rows * self.dim + (ids % np.uint64(self.dim)).astype(np.int64)
+        sums = np.bincount(cell, weights=sign, minlength=len(batch) * self.dim).reshape(len(batch), self.dim)
+        return unit_rows(sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
 
 
 def plan_batches(lengths: list[int], max_items: int, max_tokens: int) -> list[list[int]]:
@@ -127,7 +128,8 @@ def embed_column(text: Column, make: Callable[[], Embedder] = HashEmbedder, max_
 
 
 def embed_chunks(chunks: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
-    return chunks.select("workspace_id", "chunk_id", embed_column(F.col("content"), make).alias("embedding"))
+    texts = spread(chunks.select("workspace_id", "chunk_id", "content"))
+    return texts.select("workspace_id", "chunk_id", embed_column(F.col("content"), make).alias("embedding"))
 
 
 def batch_plan_col(lengths: Column, max_items: int, max_tokens: int) -> Column:

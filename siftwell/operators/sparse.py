@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from siftwell.functions.text import path_terms, query_tokens
 from siftwell.operators.paths import lexical_path_predicate
+from siftwell.session import spread
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -43,7 +44,7 @@ FOLD_FROM, FOLD_TO = _folds()
 
 
 def fold_col(text: Column) -> Column:
-    return F.translate(text, FOLD_FROM, FOLD_TO)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, FOLD_FROM, FOLD_TO)).otherwise(text)
 
 
 def fold(text: str) -> str:
@@ -74,14 +75,14 @@ def build_postings(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "c
 
 def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(terms_col(F.col(text_col))).alias("term"))
+    words = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.explode(terms_col(F.col(text_col))).alias("term"))
     per_doc = words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """(n_docs, total_len, avg_len), one row."""
-    return docs.select(F.size(terms_col(F.col(text_col))).alias("n")).agg(
+    return spread(docs.select(text_col)).select(F.size(terms_col(F.col(text_col))).alias("n")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("total_len"),
         F.coalesce(F.avg(F.greatest("n", F.lit(0))), F.lit(0.0)).alias("avg_len"),

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siftwell.functions import ids, text, vectors
 from siftwell.operators import chunking, delta, dense, embed, fusion, metrics, paths, rerank, sparse, store
-from siftwell.session import table
+from siftwell.session import spread, table
 from siftwell.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -515,7 +515,7 @@ def hash_scan(spark, d):
 # embedding
 @query()
 def embed_documents(spark, d):
-    docs = table(spark, d, "documents").withColumn("e", embed.embed_column(F.col("text")))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("e", embed.embed_column(F.col("text")))
     return docs.select("doc_id", F.size("e").alias("dim"), r6(vectors.norm(F.col("e"))).alias("norm"))
 
 
