@@ -62,5 +62,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the session has task slots: a scan of one small or
     unsplittable file is redistributed before work on rows that costs far more than moving them;
     a scan with enough splits stays as it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "InMemory" in plan:  # counting its partitions would run it; a shuffle has chosen them
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * slots) if df.rdd.getNumPartitions() < slots else df
