@@ -44,17 +44,17 @@ def session_numbers(events: DataFrame, gap_s: float, bucket_s: int = BUCKET_S) -
     """``events`` with ``session_no``, from 1 in each workspace: a new one begins after more than ``gap_s`` of silence."""
     rows = events.withColumn("__b", F.floor(F.col("event_ts") / bucket_s))
     inside = Window.partitionBy("workspace_id", "__b").orderBy("event_ts", "event_id")
-    rows = rows.withColumn("__prev", F.lag("event_ts").over(inside))
-    buckets = rows.groupBy("workspace_id", "__b").agg(F.max("event_ts").alias("last"))
+    gap = F.col("event_ts") - F.lag("event_ts").over(inside)
+    rows = rows.withColumn("__inner", F.when(gap > gap_s, 1).otherwise(0))  # the first of a bucket: see below
+    buckets = rows.groupBy("workspace_id", "__b").agg(
+        F.min("event_ts").alias("first"), F.max("event_ts").alias("last"), F.sum("__inner").alias("inner")
+    )
     along = Window.partitionBy("workspace_id").orderBy("__b")
-    before = buckets.withColumn("__before", F.lag("last").over(along)).select("workspace_id", "__b", "__before")
-    rows = rows.join(before, ["workspace_id", "__b"])
-    prev = F.coalesce("__prev", "__before")
-    rows = rows.withColumn("__start", F.when(prev.isNull() | (F.col("event_ts") - prev > gap_s), 1).otherwise(0))
-    starts = rows.groupBy("workspace_id", "__b").agg(F.sum("__start").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = starts.select("workspace_id", "__b", ahead.alias("__offset"))
-    running = F.sum("__start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.lag("last").over(along)
+    opened = buckets.withColumn("open", F.when(before.isNull() | (F.col("first") - before > gap_s), 1).otherwise(0))
+    ahead = F.coalesce(F.sum(F.col("inner") + F.col("open")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = opened.select("workspace_id", "__b", (ahead + F.col("open")).alias("__offset"))
+    running = F.sum("__inner").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(offsets, ["workspace_id", "__b"]).withColumn("session_no", F.col("__offset") + running).select(*events.columns, "session_no")
 
 
