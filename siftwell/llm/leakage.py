@@ -31,7 +31,7 @@ from siftwell.session import spread
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 MIN_RUN = 12
-PASSAGE = 96
+PASSAGE = 32
 BLOCK = 16
 #: Characters of item text in one index; more items make more indexes, each queried by every passage.
 INDEX_CHARS = 16_000_000
