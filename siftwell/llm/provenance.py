@@ -42,6 +42,10 @@ _STRINGS_SLASH = re.compile(r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\.)*\'
 _NAMES = re.compile(r"[^\W\d]\w*")
 _NUMBERS = re.compile(r"(?<!\w)\d[\w.]*")
 _RUNNING = re.compile(r"\b[^\W\d]\w*(?:\d\b|_\d+(?:_\w*)?\b)")
+_KEY = re.compile(r"(?<=[{,\n])\s*[^\W\d]\w*[ \t]*:(?![:=])(?=\s*[\x00\d\[{.+-])")
+_LOGIC = re.compile(r"\b(?:async|await|def|do|elif|else|fn|for|func|function|if|lambda|loop|match|return|switch|throw|try|while|with|yield)\b|=>")
+_CLASS = re.compile(r"\bclass\b")
+_CALL = re.compile(r"[^\W\d]\w*!?\(")
 _HEADS = re.compile(r"\([^(){}]*\)")
 _LEAD = re.compile(r"(?:\s+|#(?!\[)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\n]*|(?:package\s+[\w.]+|import\s+(?:static\s+)?[\w.*]+|[\"']use strict[\"']|#!\[[^\]]*\]);?(?=\s))*")
 _MARKS = re.compile(r"^[ \t]*(?:#+!?|//+[/!]?|/\*+!?|\*+/?|<!--|--+)|\*+/|-->", re.M)
@@ -125,11 +129,32 @@ def is_minified(f: dict[str, float], size: int) -> bool:
     return f["canonical"] >= 4 * max(1, f["lines"]) and mean > 150 or f["canonical"] >= 10 and f["longest"] > 0.5 * size and f["canonical"] >= 2.5 * f["lines"] and mean > 100
 
 
+def _only_names(suffix: str, text: str) -> bool:
+    """Whether the words beside the literals only name them, however many there are: no word of logic, and words,
+    statements and calls bounded by the number of literals. Rows of literals, their keys and braces are no statements."""
+    literals = 0
+
+    def mark(m: re.Match) -> str:
+        nonlocal literals
+        if m.group()[0] in "#/":
+            return ""
+        literals += 1
+        return "\x00"
+
+    code = (_STRINGS_HASH if suffix == "py" else _STRINGS_SLASH).sub(mark, text)
+    literals += len(_NUMBERS.findall(code))
+    code = _KEY.sub("", code)
+    if _LOGIC.search(code) or suffix in ("py", "js", "ts") and _CLASS.search(code):
+        return False
+    statements = sum(max(1, r.count(";")) for r in code.split("\n") if _NAMES.search(r))
+    return len(_NAMES.findall(code)) <= 6 * (literals + 1) and statements <= 2 * (literals + 1) and 4 * len(_CALL.findall(code)) <= literals + 8
+
+
 def is_data(suffix: str, f: dict[str, float], text: str) -> bool:
     """Only literals and the few words that name them, or rows of delimited values."""
     if suffix not in CODE:
         return False
-    if f["literal"] > 100 and f["literal"] >= 0.85 * (f["literal"] + f["word_chars"]) and f["words"] <= 25 and f["canonical"] <= 12:
+    if f["literal"] > 100 and f["literal"] >= 0.85 * (f["literal"] + f["word_chars"]) and _only_names(suffix, text):
         return True
     rows = [x for x in text.splitlines() if x.strip()]
     if len(rows) >= 4:

@@ -68,6 +68,21 @@ def test_marks(path, text, marks):
     assert provenance.verdicts(path, text) == marks
 
 
+BLOB = "".join(f"    \"{'QL82PExhO+dpMxoFou76qZ' * 3}{i}\"\n" for i in range(30))
+ROWS = "".join(f"  {{\n    id: {i},\n    text: \"{'lorem ipsum dolor sit ' * 3}\",\n  }},\n" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "path,text,marks",
+    [
+        ("a.py", "TABLE = (\n" + BLOB + ")\n", ["data"]), ("a.py", "TABLE = (\n" + BLOB * 40 + ")\n", ["data"]), ("a.ts", "export const ROWS = [\n" + ROWS + "];\n", ["data"]),
+        ("a.py", "TABLE = (\n" + BLOB + ")\n\n\ndef load():\n    return decode(TABLE)\n", []), ("a.py", BLOB.replace("    ", "check(").replace("\n", ")\n"), []),
+    ],
+)
+def test_data_of_any_length(path, text, marks):
+    assert provenance.verdicts(path, text) == marks
+
+
 def test_vendored(spark):
     ups = spark.createDataFrame([("lib", "1.0", "js", "lib.js", HAND), ("none", "1", "js", "n.js", None), ("blank", "1", "js", "b.js", "")], "lib_name string, version string, language string, filepath string, content string")
     own = HAND.replace("load", "fetch").replace("store", "keep").replace("merge", "mix")
