@@ -495,6 +495,44 @@ def delete_by_files(spark, d):
     return store.delete(chunks, gone, ["workspace_id", "filepath"])
 
 
+# the same over all files, those cut into several chunks included; SQL can't put them together
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    return delta.hash_chunked(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
+
+
+@query()
+def whole_delta_classify(spark, d):
+    return delta.classify(_whole(spark, d), table(spark, d, "file_hashes"))
+
+
+@query()
+def whole_delta_deletes(spark, d):
+    return delta.deleted(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
+
+
+@query()
+def whole_delta_replace(spark, d):
+    return delta.to_replace(whole_delta_classify(spark, d))
+
+
+@query()
+def whole_delta_summary(spark, d):
+    return delta.summary(whole_delta_classify(spark, d))
+
+
+@query()
+def whole_upsert_merge(spark, d):
+    stored = table(spark, d, "file_hashes").groupBy("workspace_id", "filepath").agg(F.max(F.lower("file_hash")).alias("h"))
+    return store.upsert(stored, _whole(spark, d).withColumnRenamed("file_hash", "h"), ["workspace_id", "filepath"])
+
+
+@query()
+def whole_delete_by_files(spark, d):
+    gone = _whole(spark, d).withColumnRenamed("file_hash", "h").filter("h < '4'")
+    chunks = table(spark, d, "chunks").select("workspace_id", "chunk_id", "filepath").distinct()
+    return store.delete(chunks, gone, ["workspace_id", "filepath"])
+
+
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def dedup_content(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
