@@ -90,9 +90,8 @@ def representatives(units: DataFrame) -> DataFrame:
     return units.groupBy("dim", "same").agg(F.min(F.struct("id", "unit")).alias("m")).select("m.id", "dim", "m.unit")
 
 
-def forest_pairs(reps: DataFrame, min_cos: float, trees: int = TREES, width: int = WIDTH, partitions: int | None = None) -> DataFrame:
-    """(a, b, cos): pairs of representatives, a < b, that meet in some tree within ``width`` places and
-    whose cosine is at least ``min_cos``."""
+def _planted(reps: DataFrame, trees: int, partitions: int | None) -> DataFrame:
+    """(tree, hash, id, low) of every representative in every tree, the trees sorted by hash string."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +113,15 @@ def forest_pairs(reps: DataFrame, min_cos: float, trees: int = TREES, width: int
                         ["tree", "hash", "id", "low"],
                     )
 
+    planted = reps.select("id", "dim", "unit").mapInArrow(plant, "tree int, hash bigint, id bigint, low binary")
+    parts = partitions or max(trees, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return planted.repartitionByRange(parts, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
+
+
+def forest_pairs(reps: DataFrame, min_cos: float, trees: int = TREES, width: int = WIDTH, partitions: int | None = None) -> DataFrame:
+    """(a, b, cos): pairs of representatives, a < b, that meet in some tree within ``width`` places and
+    whose cosine is at least ``min_cos``."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple | None = None
         for batch in batches:
@@ -139,10 +147,7 @@ def forest_pairs(reps: DataFrame, min_cos: float, trees: int = TREES, width: int
                     if len(a):
                         yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    planted = reps.select("id", "dim", "unit").mapInArrow(plant, "tree int, hash bigint, id bigint, low binary")
-    parts = partitions or max(trees, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_trees = planted.repartitionByRange(parts, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
-    met = sorted_trees.mapInArrow(scan, "a bigint, b bigint").distinct()
+    met = _planted(reps, trees, partitions).mapInArrow(scan, "a bigint, b bigint").distinct()
     return exact_cosines(met, reps).filter(F.col("cos") >= min_cos)
 
 
@@ -202,3 +207,109 @@ def mutual_pairs(vectors: DataFrame, k: int = 10, min_cos: float = 0.9, id_col:
     top = links.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
     both = top.select(F.least("id", "other").alias("vec_lo"), F.greatest("id", "other").alias("vec_hi"))
     return both.groupBy("vec_lo", "vec_hi").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
+
+
+def _reach(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place how many places to the left and to the right hold its ``width`` longest-prefix matches."""
+    n = len(hashes)
+    h = hashes.view(np.uint64)
+    left, at = np.zeros(n, np.int64), np.arange(n)
+    for step in range(1, width + 1):  # the step-th to the left counts if its prefix is no shorter than what it would replace on the right
+        a, b = at - step, at + (width + 1 - step)
+        nearer = np.where(b < n, (h ^ h[np.maximum(a, 0)]) <= (h ^ h[np.minimum(b, n - 1)]), True)
+        left += (a >= 0) & nearer
+    right = np.minimum(width - left, n - 1 - at)
+    return left, right
+
+
+def forest_candidates(reps: DataFrame, keep: int, trees: int = TREES, width: int | None = None, partitions: int | None = None) -> DataFrame:
+    """(a, b), a < b: for every representative, in every tree, its ``width`` longest-prefix matches are candidates,
+    and the ``keep`` nearest of all trees by eight-bit cosine come out, whatever their cosine is. Without a
+    ``width`` it grows with the number of representatives, as equal recall asks."""
+    block = 256
+    n = reps.count()
+    width = width or max(2 * WIDTH, round(0.4 * n**0.8))
+
+    def nearest(hashes: np.ndarray, ids: np.ndarray, low: np.ndarray, first: int, last: int) -> pa.RecordBatch:
+        left, right = _reach(hashes, width)
+        m = low.astype(np.float32)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        others, scores = [], []
+        for b in range(first, last, block):
+            e = min(b + block, last)
+            lo, hi = max(0, int((np.arange(b, e) - left[b:e]).min())), int((np.arange(b, e) + right[b:e]).max()) + 1
+            at, place = np.arange(b, e)[:, None], np.arange(lo, hi)[None, :]
+            cos = m[b:e] @ m[lo:hi].T
+            cos[(place < at - left[b:e, None]) | (place > at + right[b:e, None]) | (place == at)] = -2
+            if cos.shape[1] < keep:
+                cos = np.pad(cos, ((0, 0), (0, keep - cos.shape[1])), constant_values=-2)
+            top = np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
+            score = np.take_along_axis(cos, top, axis=1)
+            others.append(np.where(score > -2, ids[np.minimum(top + lo, len(ids) - 1)], -1))
+            scores.append(np.where(score > -2, score, -2).astype(np.float32))
+        return pa.record_batch([pa.array(ids[first:last]), _blob(np.concatenate(others)), _blob(np.concatenate(scores))], ["id", "others", "scores"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        tree, done = None, 0  # rows of ``held`` that are only context
+        for batch in batches:
+            t_col = batch.column(0).to_numpy()
+            for t in np.unique(t_col):
+                at = np.flatnonzero(t_col == t)
+                part = batch.slice(at[0], len(at))
+                rows = [part.column(1).to_numpy(), part.column(2).to_numpy(), _matrix(part.column(3), np.int8)]
+                if tree is not None and t != tree:
+                    yield nearest(*held, done, len(held[0]))
+                    held, done = [], 0
+                tree = t
+                held = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+                last = len(held[0]) - width
+                if last - done >= max(width, 16 * block):
+                    yield nearest(*held, done, last)
+                    cut = max(0, last - width)
+                    held, done = [x[cut:] for x in held], last - cut
+        if held:
+            yield nearest(*held, done, len(held[0]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for i, others, scores in zip(*(c.to_pylist() for c in batch.columns)):
+                o, s = np.frombuffer(b"".join(others), np.int64), np.frombuffer(b"".join(scores), np.float32)
+                o, s = o[s > -2], s[s > -2]
+                o, where = np.unique(o, return_index=True)
+                best = o[np.argsort(-s[where], kind="stable")[:keep]]
+                left.append(np.minimum(best, i))
+                right.append(np.maximum(best, i))
+            if left:
+                yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    if partitions is None:  # few ends of partitions, as no task sees beyond its own
+        most = max(trees, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        partitions = min(most, max(8, n * trees // (20 * width)))
+    found = _planted(reps, trees, partitions).mapInArrow(scan, "id bigint, others binary, scores binary")
+    packed = found.select("id", F.struct("others", "scores").alias("x")).groupBy("id").agg(F.collect_list("x").alias("x"))
+    return packed.select("id", "x.others", "x.scores").mapInArrow(merge, "a bigint, b bigint").distinct()
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", **forest) -> DataFrame:
+    """(vec_id, neighbours, cosines): one row for every usable vector that is not alone, its ``k`` most similar
+    of the forest in order, without any bar; copies are neighbours like others."""
+    units = usable_vectors(vectors, id_col, vec_col)
+    reps = representatives(units)
+    pairs = exact_cosines(forest_candidates(reps, 2 * k, **forest), reps)
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
+    members = units.select("id", "dim", "same").distinct()
+    rep = members.groupBy("dim", "same").agg(F.min("id").alias("rep"))
+    first = Window.partitionBy("dim", "same").orderBy("id")
+    heads = members.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).join(rep, ["dim", "same"]).select("rep", "id")
+    best = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    near = links.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("a", F.col("b").alias("rep"), "cos")
+    expanded = near.join(heads, "rep").select("a", "id", "cos").unionByName(heads.select(F.col("rep").alias("a"), "id", F.lit(1.0).alias("cos")))
+    row = Window.partitionBy("a").orderBy(F.desc("cos"), "id")
+    ranked = expanded.withColumn("n", F.row_number().over(row)).filter(F.col("n") <= k + 1)
+    lists = ranked.groupBy(F.col("a").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("n", "id", "cos"))).alias("x"))
+    # a member that is not in its class's list sees the first k of it
+    own = members.join(rep, ["dim", "same"]).select(F.col("id").alias("vec_id"), "rep").join(lists, "rep")
+    own = own.select("vec_id", F.slice(F.filter("x", lambda e: e["id"] != F.col("vec_id")), 1, k).alias("x"))
+    return own.filter(F.size("x") > 0).select("vec_id", F.col("x.id").alias("neighbours"), F.col("x.cos").alias("cosines"))

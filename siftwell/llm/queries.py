@@ -30,6 +30,16 @@ def p1_embeddings_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.mutual_pairs(table(spark, d, "embeddings"), min_cos=0.4, width=400)
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every chunk vector."""
+    return neighbours.nearest_neighbours(table(spark, d, "chunk_vectors"))
+
+
+def p1_embeddings_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every embedding."""
+    return neighbours.nearest_neighbours(table(spark, d, "embeddings"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     prose_of = prose.file_prose(table(spark, d, "chunks"), table(spark, d, "documents"))
     return prose_of.select("workspace_id", "filepath", "nl_lang")

@@ -176,3 +176,17 @@ def test_undo_is_the_inverse(lang, true, wrong, times):
     name = f"{true}>{wrong}" + (f"*{times}" if times > 1 else "")
     for token in garbled.tokens_of(break_text(TEXTS[lang], true, wrong, times)):
         assert garbled.undo(token, name) in garbled.tokens_of(TEXTS[lang])
+
+
+def test_neighbours_without_a_bar(spark):
+    m = np.random.default_rng(5).standard_normal((600, 32))
+    m[1] = m[0]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(600, None), (601, [0.0] * 32)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r for r in neighbours.nearest_neighbours(df, 10).collect()}
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    top = [set(np.argsort(-row)[:10].tolist()) for row in cos]
+    assert sorted(got) == list(range(600)) and all(len(r.neighbours) == 10 and r.vec_id not in r.neighbours for r in got.values())
+    assert sum(len(top[i] & set(got[i].neighbours)) for i in range(600)) >= 0.95 * 6000 and np.sort(cos, axis=1)[:, -10].max() < 0.9
+    assert got[0].neighbours[0] == 1 and got[1].neighbours[0] == 0
