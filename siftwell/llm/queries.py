@@ -76,8 +76,7 @@ def p4_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    files = parsing.parse_files(table(spark, d, "chunks"))
-    return files.filter("edit_cost > 0").select("workspace_id", "filepath")
+    return parsing.invalid_files(table(spark, d, "chunks"))
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:

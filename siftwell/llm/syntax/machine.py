@@ -156,7 +156,8 @@ class Grammar:
         self._columns: dict[frozenset, Column] = {}
         self._nodes: dict[tuple, tuple] = {}
         self._closed: dict[tuple, tuple[set, bool]] = {}
-        self.dead = Column(self, frozenset(), False)
+        if not hasattr(self, "dead"):  # columns that outlive the tables still lead to it
+            self.dead = Column(self, frozenset(), False)
         items, done = self._close([(self.rules[self.start][0], None, None)])
         self.first = self._column(items, done)
 
@@ -165,6 +166,13 @@ class Grammar:
         if len(self._columns) > MAX_COLUMNS or len(self._nodes) > 10 * MAX_COLUMNS:
             self.clear()
 
+    def kept(self, column: Column) -> Column:
+        """``column``, which goes on in new tables if the old ones have grown large in the middle of a text."""
+        if len(self._columns) <= MAX_COLUMNS and len(self._nodes) <= 10 * MAX_COLUMNS:
+            return column
+        self.clear()
+        return self._column(set(column.items), column.done)
+
     def _node(self, place: int, parent: tuple | None) -> tuple:
         key = (place, id(parent))
         node = self._nodes.get(key)
@@ -272,13 +280,13 @@ def walk(grammar: Grammar, kinds: list[str], column: Column | None = None, at: i
 
 
 def repair(
-    grammar: Grammar, kinds: list[str], window: int = 4, ahead: int = 6, max_edits: int = 12, budget: int = 600
+    grammar: Grammar, kinds: list[str], window: int = 4, ahead: int = 6, budget: int = 600
 ) -> tuple[int, list[tuple[int, str, str]]]:
     """(cost, edits) of the cheapest repair; an edit is (token place, "insert" / "delete" / "replace", kind).
 
     Each error is repaired within ``window`` tokens before it, by the cheapest edits after which the parse
-    goes on for ``ahead`` tokens or to the end. After ``max_edits`` edits, or if an error has no repair
-    of cost 2 within the ``budget`` of columns, what remains counts as one edit a token up to there."""
+    goes on for ``ahead`` tokens or to the end. The text is repaired to its end, however many errors it has; a token whose
+    error has no repair of cost 2 within the ``budget`` of columns is deleted, so there the cost need not be the least."""
     grammar.bound()
     kinds = [*kinds, END]
     column, at, edits = grammar.first, 0, []
@@ -295,8 +303,6 @@ def repair(
         if kind == END:
             least = column.least_end()
             return len(edits) + least, [*edits, *((at, "insert", "") for _ in range(least))]
-        if len(edits) >= max_edits:
-            return len(edits) + 1, [*edits, (at, "delete", kind)]
         best = None
         if kind not in NEVER:
             best = _cheapest(kinds, at, trail[-1 - window :], dead, ahead, budget)
@@ -304,6 +310,7 @@ def repair(
             best = (at + 1, column, ((at, "delete", kind),))
         at, column, done = best
         edits.extend(done)
+        column = grammar.kept(column)
         trail = [(at, column)]
 
 
