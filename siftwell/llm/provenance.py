@@ -178,8 +178,7 @@ def verdicts(path: str, text: str) -> list[str]:
     suffix = suffix_of(path)
     if is_lock(path, text):
         out.append("lock")
-    head = text[:20_000] if len(text) > 20_000 and not text.startswith(("/*", "#", "//")) else text
-    if _BANNER.search(leading_comments(head)) or suffix in ("java", "kt", "scala") and _GENERATED_NOTE.search(text):
+    if _BANNER.search(leading_comments(text)) or suffix in ("java", "kt", "scala") and _GENERATED_NOTE.search(text):
         out.append("generated")
     if suffix in LAID_OUT and text.strip():
         f = layout(suffix, text)

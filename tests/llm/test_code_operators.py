@@ -83,6 +83,11 @@ def test_data_of_any_length(path, text, marks):
     assert provenance.verdicts(path, text) == marks
 
 
+def test_banner_of_a_long_head():
+    text = "\n/*\n" + " * Terms of use follow here.\n" * 900 + " * This file was automatically generated by x.\n */\n" + HAND
+    assert provenance.verdicts("a.js", text) == ["generated"]
+
+
 def test_vendored(spark):
     ups = spark.createDataFrame([("lib", "1.0", "js", "lib.js", HAND), ("none", "1", "js", "n.js", None), ("blank", "1", "js", "b.js", "")], "lib_name string, version string, language string, filepath string, content string")
     own = HAND.replace("load", "fetch").replace("store", "keep").replace("merge", "mix")
