@@ -6,11 +6,20 @@ checked (structure of the format, decoded base64, masks, placeholders, reference
 how to read a file: in code a value is a literal (which may go on over several literals), in
 configuration it may stand bare, and lock files hold hashes under every name.
 
-Redaction puts ``X``, ``x`` and ``0`` for the upper-case letters, lower-case letters and digits of a
-value, so length, alphabet, quotes and separators stay, and the redacted text has no finding.
+Besides assignments, values are read where a text states them: as the argument of a call named for a credential,
+as ``user:value`` of a command line, and in comments behind the word for one ("password is ...").
+
+Redaction puts one upper-case letter, one lower-case letter and ``0`` for those of a value, taken from the
+value's own alphabet (a hexadecimal value stays one, other scripts keep theirs, escapes stay escapes), so length,
+alphabet, quotes and separators stay, and the redacted text has no finding.
+
+Checksums: tokens of the two issuers that append one (CRC-32 in base 62) are compared with it. One that holds makes
+the value a credential whatever surrounds it; one that does not hold is no reason to leave a value out, as tokens
+of older forms have none. ``validity`` says which of the two a finding rests on.
 
 Defined results: files of every suffix are read, whole; null and empty content has no finding; a value
-is reported once, at the line where it begins; a private key at its BEGIN line.
+is reported once, at the line where it begins; a private key at its BEGIN line. A key is read to its END line, however
+far away; without one, to the end of its key text.
 """
 
 from __future__ import annotations
@@ -19,6 +28,9 @@ import base64
 import binascii
 import json
 import re
+import unicodedata
+import zlib
+from bisect import bisect_left
 from functools import cache, lru_cache
 
 import ahocorasick
@@ -52,9 +64,13 @@ ISSUERS = (
     r"eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,}",
     r"sk-(?:proj-|ant-)?[A-Za-z0-9_-]{32,}",
 )
-KEYWORDS = (
-    "pass pwd pw secret token key credential kennwort contrase clave senha haslo hasło парол 密码 パスワード authorization bearer basic jwt login :// akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox sk_live_ rk_live_ aiza sg. _v1_ npm_ pypi- hf_ shpat_ eyj sk- ls0tls1crudjtib".split()
-)
+# How the formats above begin, words of headers and command lines, and words for a login.
+PREFIXES = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox sk_live_ rk_live_ AIza SG. _v1_ npm_ pypi- hf_ shpat_ shpca_ shppa_ shpss_ eyJ sk- -----BEGIN ://".split()
+HEADER_WORDS = "authorization bearer basic token apikey".split()
+LOGIN_WORDS = "login log-in log_in credential user anmeldung acceso конто".split()
+COMMAND_WORDS = ["-u ", "--user"]
+#: Words for a credential whose keyword is shorter than they are: their stems.
+STEMS = {"contrasena": "contrase", "contraseña": "contrase", "parola": "parol", "пароль": "парол", "credentials": "credential"}
 CODE_SUFFIXES = frozenset("py go js ts jsx tsx mjs cjs java rs c h cc cpp cs kt scala rb php swift".split())
 #: Calls whose argument is the value itself.
 WRAPPERS = frozenset("concat! String::from String str bytes Buffer.from atob b64decode base64.b64decode SecretStr Secret []byte".split())
@@ -69,7 +85,16 @@ REFERENCE = re.compile(
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 _ISSUER = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(ISSUERS) + r")(?![A-Za-z0-9])")
 _URL = re.compile(r"[a-z][a-z0-9+.\-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\-\[${%]", re.I)
+_COMMAND = re.compile(r"(?<!\S)(?:-u|--user)[ =]+[\"']?([\w.@\-]+):([^\s\"'`]+)")
+_STATED = re.compile(r"([^\W\d][\w\-]*)[\"'`]?\s+(?:(?:is|was|are|now|ist|war|lautet|est|était|es|era|é|foi|è|to|было|это|:|=|->)\s+)*[\"'`]?([^\s\"'`,;()<>{}\[\]]{6,})")
+_SETTER = re.compile(r"([^\W\d]\w*)\(\s*(?=[\"'`rRbBuU@])")
 _HEADER = re.compile(r"\b(Basic|Bearer|Token|ApiKey)[ ]+([A-Za-z0-9+/._~\-]{8,}={0,2})", re.I)
+#: Text of a key: lines of base64, also as literals or with escaped line ends, and the headers of encrypted ones.
+_KEY_TEXT = re.compile(
+    r"(?:\\[nrt]|[A-Za-z0-9+/=]{16,}+|[\s\"'`+,;()*#\\|>]|(?:Proc-Type|DEK-Info)[^\n\\]*)*+(?:[A-Za-z0-9+/=]{1,15}(?=(?:\\[nrt]|[\s\"'`+,;)])*(?:-----END|\Z)))?"
+)
+_KEY_TOKEN = re.compile(r"\\.|(?:Proc-Type|DEK-Info)[^\n\\]*|[A-Za-z0-9+/=]+")
+_BODY_END = re.compile(r"(?:\\[nrt]|[\s\"'`+,;)])*-----END")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY(?: BLOCK)?-----")
 _LOGIN = re.compile(r"(?i)\b(?:log[-_ ]?in|credentials?|user(?:name)?|anmeldung|acceso|конто)\b\s*[:=]\s*[\w.@\-]+\s*[/|]\s*(\S+)")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
@@ -86,13 +111,36 @@ _NAMED = re.compile(r"\bname[\"']?\s*[:=]\s*[\"']?([\w.\-]+)[\"']?,?[ \t]*\r?\n?
 _LITERAL = re.compile(r'(?:[rRbBuUfF]{1,2}|@)?(?:"""([\s\S]*?)"""|\'\'\'([\s\S]*?)\'\'\'|"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`([^`]*)`|r#"([\s\S]*?)"#)')
 _JOIN = re.compile(r"\s*(?:\+|\.\.|\.(?=\s*[\"'])|\\\r?\n)?\s*(?=[\"'`])")
 _BARE = re.compile(r"[^\s#;,][^\s;,]*")
+_NAME = re.compile(r"[^\W\d][\w.\-]*")
+_NAME_WORD = re.compile(r"\bname", re.I)
+_COMMENT_TAIL = re.compile(r"(?:^|\s)(?:#|//|/\*|--|<!--)\s")
 _COMMENT = re.compile(r"\s*(?:#|//|/?\*|--|;|<!--|rem\b)\s*", re.I)
 
 
+def _aligned(needle: str) -> set[str]:
+    """What ``needle`` looks like inside base64, at each of the three places it can begin."""
+    out = set()
+    for shift in range(3):
+        code = base64.b64encode(b"\0" * shift + needle.encode()).decode().rstrip("=")
+        whole = (shift + len(needle)) * 8 // 6  # signs that no later byte changes
+        out.add(code[-(-shift * 8 // 6) : whole])
+    return out
+
+
+@cache
+def keywords() -> tuple[str, ...]:
+    """What a line must hold, in lower case, to be read: the names of credentials, the beginnings of formats, the words
+    of headers, logins and command lines, and the formats' beginnings in base64."""
+    words = {STEMS.get(w, w) for w in (*PASSWORD_WORDS, *TOKEN_WORDS, "mdp", "passe", "motdepasse")}
+    words |= {x.lower() for x in (*PREFIXES, *HEADER_WORDS, *LOGIN_WORDS, *COMMAND_WORDS, "access")}
+    words |= {x.lower() for p in PREFIXES for x in _aligned(p) if len(x) > 3 or p == "://"}
+    return tuple(sorted(w for w in words if not any(v in w for v in words if v != w)))
+
+
 @cache
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for k in KEYWORDS:
+    for k in keywords():
         a.add_word(k, len(k))
     a.make_automaton()
     return a
@@ -138,8 +186,8 @@ def _decoded(value: str) -> str | None:
 
 def harmless(value: str) -> bool:
     """Empty, masked, a placeholder, or a reference to where the value is kept."""
-    v = value.strip()
-    if len(v) < 4 or not any(c.isalnum() and c not in "xX0" for c in v) or len(set(v.lower())) < 3:
+    v = _CODED_X.sub("x", value.strip())
+    if len(v) < 4 or not any(c.isalnum() and c not in "xX0" for c in v) or len(set(v.lower())) < 3 or len({c for c in v if c.isalnum()}) < 4 and _is_masked(v):
         return True
     if PLACEHOLDER.search(v) or REFERENCE.match(v):
         return True
@@ -147,8 +195,33 @@ def harmless(value: str) -> bool:
     return len(tail) >= 8 and len(set(tail)) < 3
 
 
+def _is_masked(value: str) -> bool:
+    """Whether every letter and digit is the placeholder of its kind."""
+    return all(not c.isalnum() or c in "0xXaA" or c == _first_alike(c) for c in value)
+
+
+#: What ``placeholder`` leaves of coded characters.
+_CODED_X = re.compile(r"%78|\\(?:x78|u0078|U00000078|u\{0*78\}|170)")
+_CRC = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+# Fixed value: the digits of base 62 in the order of those checksums.
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(value: str) -> bool:
+    """Whether an issued token ends in the CRC-32 of what precedes it."""
+    m = _CRC.fullmatch(value)
+    if not m:
+        return False
+    n = 0
+    for c in m.group(2):
+        n = 62 * n + BASE62.index(c)
+    return n == zlib.crc32(m.group(1).encode())
+
+
 def is_issued(value: str) -> bool:
-    """Whether an issuer-format match has the structure of its format."""
+    """Whether an issuer-format match has the checksum or the structure of its format."""
+    if checksum_holds(value):
+        return True
     if harmless(value):
         return False
     if value.startswith("eyJ"):
@@ -206,6 +279,28 @@ def _literal(text: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     return ("".join(parts), spans) if parts else None
 
 
+def key_text(text: str, at: int) -> list[tuple[int, int]]:
+    """Places of the key text of a private key whose BEGIN line ends at ``at``.
+
+    It goes to the next END marker, unless another key begins before that; without one, as far as lines of a key do."""
+    stop, other = text.find("-----END", at), text.find("-----BEGIN", at)
+    run = _KEY_TEXT.match(text, at).end()
+    if stop < 0 or 0 <= other < stop:
+        stop = run
+    out = []
+    for m in _KEY_TOKEN.finditer(text, at, stop):
+        if m.group()[0] == "\\" or ":" in m.group():
+            continue
+        if len(m.group()) >= 16 or m.end() <= run or _BODY_END.match(text, m.end()):
+            out.append(m.span())
+    return out
+
+
+def _is_stated(value: str) -> bool:
+    """Whether a word behind the name of a credential is one: letters and digits of mixed kinds, as no word has."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and is_secret(value, 1) and not re.fullmatch(r"[A-Za-z]+\d{1,2}|v?\d[\d.]*\w?|[a-z]+(?:[_.\-]\w+)+\(?\)?", value)
+
+
 def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
     """(place, kind, places of the pieces) of every credential of a file, in order."""
     suffix = suffix_of(path)
@@ -215,18 +310,21 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
         names = True
     code = suffix in CODE_SUFFIXES
     found: dict[int, tuple[str, list[tuple[int, int]]]] = {}
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
 
     def add(kind: str, spans: list[tuple[int, int]]) -> None:
         a, z = spans[0]
-        if not any(x < z and a < y for x, y in taken):
+        i = bisect_left(taken, (a, a))
+        if not (i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < z):
             found[a] = (kind, spans)
-            taken.extend(spans)
+            for s in spans:
+                taken.insert(bisect_left(taken, s), s)
 
     def assigned(a: int, z: int, line: str) -> None:
         comment = _COMMENT.match(line)
         bare = not code or comment is not None
-        if code and not comment and not any(q in line for q in "\"'`") and not line.rstrip().endswith(("=", "(", "\\")):
+        mark = _COMMENT_TAIL.search(line)
+        if code and not mark and not comment and not any(q in line for q in "\"'`") and not line.rstrip().endswith(("=", "(", "\\")):
             return
         if m := _LOGIN.search(text, a, z):
             if is_secret(m.group(1), 1):
@@ -234,15 +332,19 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
         if (start := a + len(line) - len(line.lstrip())) < z and text[start] in "\"'`" and (got := _literal(text, start)) and len(got[1]) > 1:
             if (x := _ISSUER.fullmatch(got[0])) and is_issued(x.group()):
                 add("assigned secret", got[1])
-        if not code and (m := _NAMED.search(text, a, min(len(text), z + 200))) and m.start() < z and (kind := name_class(m.group(1))):
+        for x in _NAME_WORD.finditer(line) if not code else ():
+            if not (m := _NAMED.match(text, a + x.start())) or not (kind := name_class(m.group(1))):
+                continue
             got = _literal(text, m.end())
             if got and is_secret(got[0], kind):
                 add("assigned secret", got[1])
             elif not got and (v := _BARE.match(text, m.end())) and is_secret(v.group(), kind) and not any(c in v.group() for c in "(){}[]<>"):
                 add("assigned secret", [v.span()])
         at, pair = a, _PAIR_CODE if code else _PAIR
-        while (m := pair.search(text, at, min(len(text), z + 200))) and m.start() < z:
-            at = m.end("k") + 1
+        for x in _NAME.finditer(text, a, z):
+            if x.start() < at or not (m := pair.match(text, x.start())):
+                continue
+            at = m.end("k")
             name = m.group("k")
             kind = name_class(name)
             if m.group("s") == "," and not (kind and m.group("q")):
@@ -262,6 +364,14 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
                     continue
                 if not any(c in value for c in "(){}[]<>") and is_secret(value, kind):
                     add("assigned secret", [(v.start(), v.start() + len(value))])
+        for m in _SETTER.finditer(text, a, z) if code else ():
+            if (kind := name_class(m.group(1))) and (got := _literal(text, m.end())) and is_secret(got[0], kind):
+                add("assigned secret", got[1])
+        if comment or mark:
+            for m in _STATED.finditer(text, a + (0 if comment else mark.end()), z):
+                v = m.group(2).rstrip(".:!?")
+                if name_class(m.group(1)) and _is_stated(v):
+                    add("stated secret", [(m.start(2), m.start(2) + len(v))])
 
     done = 0
     low = text.lower()
@@ -276,10 +386,10 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
         line = text[a:z]
         if "-----BEGIN" in line:
             for m in _PRIVATE.finditer(text, a, z):
-                stop = text.find("-----END", m.end())
-                body = text[m.end() : stop if 0 <= stop - m.end() < 20_000 else m.end() + 400]
-                if sum(len(x) for x in re.findall(r"[A-Za-z0-9+/]{16,}", body.replace("\\n", "\n"))) >= 24 and not harmless(re.sub(r"[\s\\n\"'+#]", "", body[:200])):
-                    add("private key", [(m.start(), m.end()), (m.end(), m.end() + len(body))])
+                body = key_text(text, m.end())
+                whole = "".join(text[x:y] for x, y in body)
+                if len(whole) >= 24 and not harmless(whole):
+                    add("private key", [m.span(), *body])
             if "PUBLIC" in line or "CERTIFICATE" in line:
                 continue
         if names:
@@ -287,6 +397,9 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
         for m in _ISSUER.finditer(text, a, z):
             if is_issued(m.group()):
                 add("issued token", [m.span()])
+        for m in _COMMAND.finditer(text, a, z):
+            if is_secret(m.group(2), 2):
+                add("login on a command line", [m.span(2)])
         if "://" in line:
             for m in _URL.finditer(text, a, z):
                 if not harmless(m.group(2)) and not REFERENCE.match(m.group(2)):
@@ -302,39 +415,66 @@ def find_credentials(path: str, text: str) -> list[tuple[int, str, list[tuple[in
     return [(a, *found[a]) for a in sorted(found)]
 
 
-_UPPER, _LOWER, _DIGIT = re.compile(r"[A-Z]"), re.compile(r"[a-z]"), re.compile(r"[0-9]")
+_ESCAPES = re.compile(r"(\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|u\{[0-9A-Fa-f]+\}|[0-7]{3}|.))", re.S)
+_URL_ESCAPES = re.compile(r"(%[0-9A-Fa-f]{2})")
 
 
-def placeholder(value: str) -> str:
-    """Same length and alphabet; escapes such as a backslash and n stay."""
-    out = []
-    for part in re.split(r"(\\.)", value):
-        out.append(part if part.startswith("\\") else "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in part))
-    return "".join(out)
+@cache
+def _first_alike(c: str) -> str:
+    """The first character of the same kind in the block of 128 that ``c`` stands in, so of its script and length."""
+    kind = unicodedata.category(c)
+    return next(x for o in range(ord(c) & ~127, ord(c) + 1) if unicodedata.category(x := chr(o)) == kind)
+
+
+def _placeholder_escape(part: str) -> str:
+    """A coded character as the code of ``x``; escapes by one letter stay."""
+    if part[0] == "%":
+        return "%78"
+    if len(part) == 4 and part[1].isdigit():
+        return "\\170"
+    if len(part) > 2:
+        digits = [i for i in range(2, len(part)) if part[i] not in "{}"]
+        return part[:2] + "".join("{}"["{}".index(c)] if c in "{}" else "78".rjust(len(digits), "0")[-len(digits) :][digits.index(i + 2)] for i, c in enumerate(part[2:]))
+    return part
+
+
+def placeholder(value: str, whole: str | None = None, url: bool = False) -> str:
+    """Same length and alphabet; ``whole`` is the value that ``value`` is a piece of."""
+    escapes = _URL_ESCAPES if url else _ESCAPES
+    plain = escapes.sub("", whole or value)
+    hexadecimal = not any(c.isascii() and c.isalpha() and c not in "abcdefABCDEF" for c in plain)
+    upper, lower = ("A", "a") if hexadecimal else ("X", "x")
+    one = lambda c: (upper if c.isupper() else lower if c.isalpha() else "0" if c.isdigit() else c) if c.isascii() else _first_alike(c) if c.isalnum() else c
+    return "".join(_placeholder_escape(part) if n % 2 else "".join(map(one, part)) for n, part in enumerate(escapes.split(value)))
 
 
 def redact(path: str, text: str) -> str:
     out, at = [], 0
-    spans = sorted(s for _, kind, ss in find_credentials(path, text) for s in (ss[1:] if kind == "private key" else ss))
-    for a, z in spans:
+    pieces = []
+    for _, kind, spans in find_credentials(path, text):
+        spans = spans[1:] if kind == "private key" else spans
+        whole = "".join(text[a:z] for a, z in spans)
+        pieces += [(a, z, whole, kind == "login in URL") for a, z in spans]
+    for a, z, whole, url in sorted(pieces):
         if a >= at:
-            out += [text[at:a], placeholder(text[a:z])]
+            out += [text[at:a], placeholder(text[a:z], whole, url)]
             at = z
     return "".join([*out, text[at:]])
 
 
 def _find_rows(path: str, text: str) -> list[tuple]:
     rows, line, at = [], 1, 0
-    for place, kind, _ in find_credentials(path, text):
+    for place, kind, spans in find_credentials(path, text):
         line += text.count("\n", at, place)
         at = place
-        rows.append((line, kind))
+        value = "".join(text[a:z] for a, z in spans)
+        rows.append((line, kind, "checksum" if any(checksum_holds(x) for x in _ISSUER.findall(value)) else "structure"))
     return rows
 
 
 def credential_places(chunks: DataFrame) -> DataFrame:
-    """(workspace_id, filepath, line_no, kind): one row per credential."""
-    return map_files(chunks, "line_no bigint,kind string", _find_rows)
+    """(workspace_id, filepath, line_no, kind, validity): one row per credential."""
+    return map_files(chunks, "line_no bigint,kind string,validity string", _find_rows)
 
 
 def redacted_files(chunks: DataFrame) -> DataFrame:
