@@ -9,21 +9,18 @@ places to return to. Columns are interned, and the column after a token is remem
 chart of a text without errors is a walk over a table that grows as texts need it.
 
 Where no item takes the next token, columns get costs: deleting a token, inserting one or replacing
-one costs 1 each. ``repair`` finds the cheapest edits around the place of the error that let the parse
-go on, and at the end of the text the least number of tokens that would complete it.
+one costs 1 each, and so does each token that would complete the text at its end. ``repair`` finds the edits of
+least total cost.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from heapq import heappop, heappush
 
 END = "<end>"
 #: Interned columns after which the tables of a grammar are dropped and grown anew.
 MAX_COLUMNS = 5_000
-#: Kinds that no grammar takes: they can only be deleted.
-NEVER = frozenset(["CONFLICT", "ERR"])
 
 
 class _Net:
@@ -52,8 +49,8 @@ class Grammar:
         self.net, self.rules, self.finals = _Net(), {}, set()
         self._text, self._at = text, 0
         self._parse()
-        self.literals = {k for edges in self.net.terms for kinds, _ in edges for k in kinds}
         self._least_costs()
+        self._alike()
         self.start = start
         self.clear()
 
@@ -131,8 +128,8 @@ class Grammar:
             changed = False
             for p in range(len(cost)):
                 best = cost[p]
-                for _, t in net.terms[p]:
-                    best = min(best, 1 + cost[t])
+                for kinds, t in net.terms[p]:
+                    best = min(best, cost[t] + (not kinds & self.free))
                 for t, _ in net.silent[p]:
                     best = min(best, cost[t])
                 for name, t in net.calls[p]:
@@ -151,13 +148,41 @@ class Grammar:
                         grown = True
         self.passing = passing
 
+    #: Kinds that insertion never needs, and those that the grammar treats as no other.
+    unmade: frozenset[str] = frozenset()
+    #: Kinds that completing a text doesn't cost anything.
+    free: frozenset[str] = frozenset()
+    apart: frozenset[str] = frozenset()
+
+    def _alike(self) -> None:
+        """One kind for all that stand in the same edges and guards: edits need only one of them."""
+        where: dict[str, list] = {}
+        for p, edges in enumerate(self.net.terms):
+            for n, (kinds, _) in enumerate(edges):
+                for k in kinds:
+                    where.setdefault(k, []).append((p, n))
+        for p, edges in enumerate(self.net.silent):
+            for n, (_, guard) in enumerate(edges):
+                for k in guard or ():
+                    where.setdefault(k, []).append((-1 - p, n))
+        self.literals = frozenset(where)
+        first: dict[tuple, str] = {}
+        for k in sorted(where):
+            if k not in self.unmade:
+                first.setdefault((k,) if k in self.apart else tuple(where[k]), k)
+        self.makes = frozenset(first.values())
+
+    def variants(self, column: Column, kind: str) -> list[Column]:
+        """The columns in which a token edited before ``kind`` may stand."""
+        return [column]
+
     # columns
     def clear(self) -> None:
         self._columns: dict[frozenset, Column] = {}
         self._nodes: dict[tuple, tuple] = {}
-        self._closed: dict[tuple, tuple[set, bool]] = {}
+        self._closed: dict[tuple, tuple] = {}
         if not hasattr(self, "dead"):  # columns that outlive the tables still lead to it
-            self.dead = Column(self, frozenset(), False)
+            self.dead = self.column_type(self, frozenset(), False)
         items, done = self._close([(self.rules[self.start][0], None, None)])
         self.first = self._column(items, done)
 
@@ -209,34 +234,41 @@ class Grammar:
         key = frozenset((p, id(q), b) for p, q, b in items) | frozenset([done])
         column = self._columns.get(key)
         if column is None:
-            column = self._columns[key] = Column(self, frozenset(items), done)
+            column = self._columns[key] = self.column_type(self, frozenset(items), done)
         return column
 
     def _after(self, column: Column, kind: str) -> Column:
         if kind == END:
             return column if column.done else self.dead
-        terms, closed = self.net.terms, self._closed
+        terms = self.net.terms
         items, done = set(), False
         for place, parent, barred in column.items:
             if barred is None or kind not in barred:
                 for kinds, to in terms[place]:
                     if kind in kinds:
-                        key = (to, id(parent))
-                        found = closed.get(key)
-                        if found is None:
-                            found = closed[key] = self._close([(to, parent, None)])
+                        found = self._from(to, parent)
                         items |= found[0]
                         done |= found[1]
         return self._column(items, done)
 
+    def _from(self, place: int, parent: tuple | None) -> tuple:
+        """(items, done, kinds taken next, parent) of a place, remembered; the parent is held so that its id stays its own."""
+        key = (place, id(parent))
+        found = self._closed.get(key)
+        if found is None:
+            items, done = self._close([(place, parent, None)])
+            takes = {k for p, _, barred in items for kinds, _ in self.net.terms[p] for k in kinds if not barred or k not in barred}
+            found = self._closed[key] = (items, done, takes, parent)
+        return found
+
 
 class Column(dict):
     """A chart column; as a mapping, token kind -> the column after it."""
 
-    __slots__ = ("grammar", "items", "done", "_takes")
+    __slots__ = ("grammar", "items", "done", "_follow")
 
     def __init__(self, grammar: Grammar, items: frozenset, done: bool):
-        self.grammar, self.items, self.done, self._takes = grammar, items, done, None
+        self.grammar, self.items, self.done, self._follow = grammar, items, done, None
 
     def __missing__(self, kind: str) -> Column:
         out = self[kind] = self.grammar._after(self, kind)
@@ -248,14 +280,26 @@ class Column(dict):
     def __eq__(self, other: object) -> bool:
         return self is other
 
-    def takes(self) -> list[str]:
-        """Kinds that some item takes next."""
-        if self._takes is None:
-            terms = self.grammar.net.terms
-            self._takes = sorted(
-                {k for p, _, barred in self.items for kinds, _ in terms[p] for k in kinds if not barred or k not in barred}
-            )
-        return self._takes
+    def follow(self) -> dict[str, set[str]]:
+        """Kind that some item takes next (one of those alike) -> kinds taken after it."""
+        if self._follow is None:
+            terms, makes, out = self.grammar.net.terms, self.grammar.makes, {}
+            for place, parent, barred in self.items:
+                for kinds, to in terms[place]:
+                    takes = None
+                    for k in kinds & makes:
+                        if not barred or k not in barred:
+                            takes = takes or self.grammar._from(to, parent)[2]
+                            if k in out:
+                                out[k] |= takes
+                            else:
+                                out[k] = set(takes)
+            self._follow = {k: out[k] for k in sorted(out)}
+        return self._follow
+
+    def goes_on(self, kind: str, follow: set[str], after: str) -> bool:
+        """Whether ``after`` can come after ``kind``, as far as ``follow`` tells; no is certain."""
+        return after in follow
 
     def least_end(self) -> int:
         """The least number of tokens that complete the text from here."""
@@ -279,81 +323,132 @@ def walk(grammar: Grammar, kinds: list[str], column: Column | None = None, at: i
     return len(kinds), column
 
 
-def repair(
-    grammar: Grammar, kinds: list[str], window: int = 4, ahead: int = 6, budget: int = 600
-) -> tuple[int, list[tuple[int, str, str]]]:
-    """(cost, edits) of the cheapest repair; an edit is (token place, "insert" / "delete" / "replace", kind).
+def repair(grammar: Grammar, kinds: list[str], window: int = 6, ahead: int = 6, beam: int = 48, budget: int = 6_000) -> tuple[int, list[tuple[int, str, str]], bool]:
+    """(cost, edits, least): the cheapest repair of a whole text; an edit is (token place, "insert" / "delete" /
+    "replace", kind).
 
-    Each error is repaired within ``window`` tokens before it, by the cheapest edits after which the parse
-    goes on for ``ahead`` tokens or to the end. The text is repaired to its end, however many errors it has; a token whose
-    error has no repair of cost 2 within the ``budget`` of columns is deleted, so there the cost need not be the least."""
+    First each error is repaired by the cheapest edits within ``window`` tokens before it after which the parse goes on for
+    ``ahead`` tokens or to the end (of the places after a first edit, the ``beam`` that come furthest get a second, half as many
+    after each error where none does and the token is deleted), however many errors there are. Then every way to edit the text anywhere at a lower total cost is tried, cost by cost; one
+    that is found is the minimum. Cost 1 is always tried wholly; ``least`` is false where the ``budget`` of places (a place
+    being a token with a column before it) ended the search at a higher cost, and then the cost is an upper bound."""
     grammar.bound()
-    kinds = [*kinds, END]
-    column, at, edits = grammar.first, 0, []
+    cost, edits = _error_by_error(grammar, kinds, window, ahead, beam)
+    strange = sum(k.lstrip("\n") not in grammar.literals for k in kinds)  # each of them takes an edit
+    for most in range(max(1, strange), cost):
+        found, complete = cheapest(grammar, kinds, most, budget if most > 1 else None)
+        if found is not None or not complete:
+            return (cost, edits, False) if found is None else (len(found), found, True)
+    return cost, edits, True
+
+
+def _completed(column: Column) -> int:
+    """The least number of tokens inserted at the end of a text that has ``column`` there."""
+    return 0 if column[END] is not column.grammar.dead else max(1, column.least_end())
+
+
+def cheapest(grammar: Grammar, kinds: list[str], most: int, budget: int | None) -> tuple[list | None, bool]:
+    """(edits, complete) of the cheapest repair of at most ``most`` edits anywhere in the text, None where there is none.
+
+    Places are reached in order of cost, each once; the edits of a place lead to places of the next cost. ``complete`` is
+    false if the ``budget`` of places ran out before every place of a lower cost was tried."""
+    n, dead, best = len(kinds), grammar.dead, None
+    seen: set[tuple[int, int]] = set()
+    seeds: list[tuple[int, Column, tuple]] = [(0, grammar.first, ())]
+    for cost in range(most + 1):
+        trail = []
+        for i, column, done in seeds:
+            while (i, id(column)) not in seen:
+                seen.add((i, id(column)))
+                trail.append((i, column, done))
+                if i == n:
+                    total = cost + _completed(column)
+                    if total <= most:
+                        most = total - 1
+                        best = [*done, *((n, "insert", "") for _ in range(total - cost))]
+                    break
+                after = column[kinds[i]]
+                if after is dead:
+                    break
+                column, i = after, i + 1
+        if cost >= most:
+            break
+        seeds, last = [], cost + 1 == most
+        for i, column, done in sorted(trail, key=lambda x: -x[0]):  # of equal costs the last place, where the text shows its error
+            if i == n:
+                continue
+            seeds += edited(kinds, i, column, done, last)
+            if budget is not None and len(trail) + len(seeds) > budget:
+                return best, False
+    return best, True
+
+
+def edited(kinds: list[str], i: int, column: Column, done: tuple, alive: bool) -> list[tuple[int, Column, tuple]]:
+    """Where one edit at token ``i`` leads; with ``alive``, only where the next token is taken after it."""
+    dead, kind = column.grammar.dead, kinds[i]
+    after = kinds[i + 1] if i + 1 < len(kinds) else None
+    out = []
+    if not alive or after is None or column[after] is not dead:
+        out.append((i + 1, column, (*done, (i, "delete", kind))))
+    for before in column.grammar.variants(column, kind):
+        for t, follow in before.follow().items():
+            if not alive or before.goes_on(t, follow, kind):
+                if (c := before[t]) is not dead and (not alive or c[kind] is not dead):
+                    out.append((i, c, (*done, (i, "insert", t))))
+            if not alive or after is None or before.goes_on(t, follow, after):
+                if (c := before[t]) is not dead and (not alive or after is None or c[after] is not dead):
+                    out.append((i + 1, c, (*done, (i, "replace", t))))
+    return out
+
+
+def _error_by_error(grammar: Grammar, kinds: list[str], window: int, ahead: int, beam: int) -> tuple[int, list[tuple[int, str, str]]]:
+    column, at, edits, n = grammar.first, 0, [], len(kinds)
     trail = [(0, column)]  # places since the last edit, each with the column before its token
-    dead = grammar.dead
+    dead, failed = grammar.dead, -1 - ahead  # where an error was last met by deletion alone
     while True:
-        while at < len(kinds) and (after := column[kinds[at]]) is not dead:
+        while at < n and (after := column[kinds[at]]) is not dead:
             column = after
             at += 1
             trail.append((at, column))
-        if at == len(kinds):
-            return len(edits), edits
-        kind = kinds[at]
-        if kind == END:
-            least = column.least_end()
-            return len(edits) + least, [*edits, *((at, "insert", "") for _ in range(least))]
-        best = None
-        if kind not in NEVER:
-            best = _cheapest(kinds, at, trail[-1 - window :], dead, ahead, budget)
-        if best is None:
-            best = (at + 1, column, ((at, "delete", kind),))
-        at, column, done = best
+        if at == n:
+            least = _completed(column)
+            return len(edits) + least, [*edits, *((n, "insert", "") for _ in range(least))]
+        way = _local(kinds, at, trail[-1 - window :], min(n, at + ahead), beam if at - failed > ahead else 0)
+        if way is None:  # texts of another language are full of these: a shorter look each time
+            way, failed, beam = (at + 1, column, ((at, "delete", kinds[at]),)), at, beam // 2 if at - failed > ahead else beam
+        at, column, done = way
         edits.extend(done)
         column = grammar.kept(column)
         trail = [(at, column)]
 
 
-def _cheapest(kinds: list[str], at: int, trail: list, dead: Column, ahead: int, budget: int) -> tuple | None:
-    """(place, column, edits) of the cheapest repair of cost 1 or 2 after which the parse goes on past ``at``."""
-    heap: list[tuple] = []
-    n = 0
-    for back, (i, col) in enumerate(reversed(trail)):
-        heap.append((0, back, n, i, col, ()))
-        n += 1
-    seen, spent, far = set(), 0, min(len(kinds), at + ahead)
-    while heap and spent < budget:
-        cost, back, _, i, col, done = heappop(heap)
-        if (i, id(col)) in seen:
-            continue
-        seen.add((i, id(col)))
-        if done:
-            j, c = i, col
-            while j < far and (after := c[kinds[j]]) is not dead:
-                c = after
-                j += 1
-            spent += j - i + 1
-            if j >= far or (kinds[j] == END and j > at):
-                return i, col, done
-        if cost >= 2:
-            continue
-        kind = kinds[i]
-        if kind == END:
-            continue
-        n += 1
-        heappush(heap, (cost + 1, back, n, i + 1, col, (*done, (i, "delete", kind))))
-        after_kind = kinds[i + 1]
-        tried = set()
-        for t in col.takes():
-            c = col[t]
-            if id(c) in tried:
-                continue
-            tried.add(id(c))
-            spent += 1
-            if c[kind] is not dead:
-                n += 1
-                heappush(heap, (cost + 1, back, n, i, c, (*done, (i, "insert", t))))
-            if c[after_kind] is not dead:
-                n += 1
-                heappush(heap, (cost + 1, back, n, i + 1, c, (*done, (i, "replace", t))))
+def _local(kinds: list[str], at: int, trail: list, far: int, beam: int) -> tuple | None:
+    """(place, column, edits) of the cheapest repair around an error at ``at``: of those of the least cost whose parse
+    comes to ``far``, the one that goes on furthest. Where two edits don't do, None."""
+    n, dead = len(kinds), trail[0][1].grammar.dead
+    seen: set[tuple[int, int]] = set()
+    places = [(i, c, ()) for i, c in reversed(trail)]
+    for cost in (1, 2):
+        reached, dying = [], []
+        for i, column, done in places:
+            for j, c, d in edited(kinds, i, column, done, cost == 2) if i < n else ():
+                if (j, id(c)) in seen:
+                    continue
+                seen.add((j, id(c)))
+                k, x, way = j, c, [(j, c, d)]
+                while k < n and (y := x[kinds[k]]) is not dead:
+                    x, k = y, k + 1
+                    if k <= far:
+                        way.append((k, x, d))
+                if k >= far and k > at:
+                    reached.append((_completed(x) if k == n else 1, -k, len(reached), (j, c, d)))
+                elif cost == 1:
+                    dying += way
+        if reached:
+            return min(reached)[3]
+        once = {(i, id(c)): (i, c, d) for i, c, d in reversed(dying)}
+        places = sorted(once.values(), key=lambda x: -x[0])[:beam]
     return None
+
+
+Grammar.column_type = Column
