@@ -147,3 +147,42 @@ def batch_plan_col(lengths: Column, max_items: int, max_tokens: int) -> Column:
         )
 
     return F.aggregate(F.array_sort(lengths), start, step, lambda s: s["done"])
+
+
+def batch_table(texts: DataFrame, group: str, length: str, max_items: int, max_tokens: int) -> DataFrame:
+    """(group, batch, items, longest): the planner over a table, lengths ascending within each group.
+
+    The fold needs the lengths of a group in one array, so equal lengths are counted first: a row per (group, length),
+    however many texts have it."""
+    runs = texts.groupBy(group, F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    packed = runs.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("runs"))
+    return packed.select(group, F.inline(_pack_runs(max_items, max_tokens)))
+
+
+def _pack_runs(most: int, tokens: int) -> Column:
+    """Batches (batch, items, longest) of runs of equal lengths in ascending order."""
+    start = F.struct(
+        F.array().cast("array<struct<batch:int,items:bigint,longest:int>>").alias("done"), F.lit(0).cast("bigint").alias("items"), F.lit(0).alias("longest")
+    )
+
+    def close(s: Column) -> Column:
+        row = F.array(F.struct(F.size(s["done"]).alias("batch"), s["items"].alias("items"), s["longest"].alias("longest")))
+        return F.when(s["items"] > 0, F.concat(s["done"], row)).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        room = F.greatest(F.least(F.lit(most), F.floor(F.lit(tokens) / x["length"]).cast("int")), F.lit(1)).cast("bigint")
+        fit = F.least(x["n"], F.when(s["items"] > 0, F.greatest(room - s["items"], F.lit(0))).otherwise(room))
+        rest = x["n"] - fit
+        whole = F.when(rest > 0, F.floor((rest - 1) / room)).otherwise(F.lit(0).cast("bigint"))
+        last = rest - whole * room
+        filled = F.struct(
+            s["done"].alias("done"), (s["items"] + fit).alias("items"), F.when(fit > 0, x["length"]).otherwise(s["longest"]).alias("longest")
+        )
+        full = close(filled)
+        more = F.when(
+            whole > 0,
+            F.transform(F.sequence(F.lit(1).cast("bigint"), whole), lambda i: F.struct((F.size(full) + i - 1).cast("int").alias("batch"), room.alias("items"), x["length"].alias("longest"))),
+        ).otherwise(F.array().cast("array<struct<batch:int,items:bigint,longest:int>>"))
+        return F.when(rest == 0, filled).otherwise(F.struct(F.concat(full, more).alias("done"), last.alias("items"), x["length"].alias("longest")))
+
+    return F.aggregate("runs", start, step, close)

@@ -47,37 +47,42 @@ def distinct_chunks(spark: SparkSession, d: str) -> DataFrame:
 _CHUNKS = "c AS (SELECT *, workspace_id || '/' || chunk_id AS key FROM (SELECT DISTINCT * FROM chunks))"
 
 # vectors
-_FIRST = "q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1)"
+# Components are compared on a grid of whole numbers, whose products add up exactly in any order.
+_GRID = "list_transform(embedding, lambda x: floor(x::DOUBLE * 100000 + 0.5))"
+_FIRST = f"q AS (SELECT {_GRID} AS qv FROM embeddings ORDER BY vec_id LIMIT 1)"
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], {q}::DOUBLE[])"
+_GRID_COS = "list_dot_product(g, qv) / (sqrt(list_dot_product(g, g)) * sqrt(list_dot_product(qv, qv)))"
 
 
-def _first_vector(spark: SparkSession, d: str) -> list[float]:
-    return table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+def on_grid(df: DataFrame) -> DataFrame:
+    return df.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100000 + 0.5).cast("double")))
+
+
+def _first_vector(vectors_: DataFrame) -> list[float]:
+    return vectors_.orderBy("vec_id").select("embedding").first()[0]
 
 
 def _dense(sql_where: str) -> str:
     return f"""
-        WITH {_FIRST}, s AS (SELECT e.vec_id, round(1 - {_COS.format(q='q.qv')}, 6) AS distance FROM embeddings e, q {sql_where}),
+        WITH {_FIRST}, g AS (SELECT vec_id, {_GRID} AS g FROM embeddings e {sql_where}), s AS (SELECT vec_id, 1 - {_GRID_COS} AS distance FROM g, q),
         t AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM s)
-        SELECT vec_id, distance, round(greatest(0, least(1, 1 - distance / 2)), 6) AS score, CAST(rank AS INT) AS rank FROM t WHERE rank <= {K}"""
+        SELECT vec_id, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance / 2)), 6) AS score, CAST(rank AS INT) AS rank FROM t WHERE rank <= {K}"""
 
 
-def _rounded_top(df: DataFrame, query_vec: list[float], where: Column | None = None) -> DataFrame:
-    rows = df if where is None else df.filter(where)
-    q = F.array(*(F.lit(float(x)) for x in query_vec))
-    best = rows.select("vec_id", r6(1 - vectors.cosine(F.col("embedding"), q)).alias("distance")).orderBy("distance", "vec_id").limit(K)
-    rank = F.row_number().over(Window.orderBy("distance", "vec_id"))
-    return best.select("vec_id", "distance", r6(vectors.distance_to_score(F.col("distance"))).alias("score"), rank.alias("rank"))
+def _six(hits: DataFrame, *columns: str) -> DataFrame:
+    return hits.withColumns({c: r6(c) for c in columns})
 
 
 @query(_dense(""))
 def dense_topk(spark, d):
-    return _rounded_top(table(spark, d, "embeddings"), _first_vector(spark, d))
+    e = on_grid(table(spark, d, "embeddings"))
+    return _six(dense.top_k(e, _first_vector(e), K, "vec_id"), "distance", "score")
 
 
 @query(_dense("WHERE e.label = 3"))
 def dense_topk_filtered(spark, d):
-    return _rounded_top(table(spark, d, "embeddings"), _first_vector(spark, d), F.col("label") == 3)
+    e = on_grid(table(spark, d, "embeddings"))
+    return _six(dense.top_k(e, _first_vector(e), K, "vec_id", where=F.col("label") == 3), "distance", "score")
 
 
 @query(f"""
@@ -92,9 +97,13 @@ def dense_topk_multi(spark, d):
     return dense.top_k_multi(e, queries, 10).withColumn("cos", r6("cos"))
 
 
-@query()
+@query(f"""
+    WITH v AS (SELECT vec_id, g, sqrt(list_dot_product(g, g)) AS n FROM (SELECT vec_id, {_GRID} AS g FROM chunk_vectors WHERE embedding IS NOT NULL)),
+         p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.g, e.g) / (q.n * e.n), 9) AS cos FROM v q JOIN v e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 AND q.n > 0 AND e.n > 0),
+         t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM p)
+    SELECT query_id, vec_id, cos, CAST(rank AS INT) AS rank FROM t WHERE rank <= 10""")
 def chunk_vector_search(spark, d):
-    e = table(spark, d, "chunk_vectors")
+    e = on_grid(table(spark, d, "chunk_vectors"))
     queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return dense.top_k_multi(e, queries, 10)
 
@@ -116,12 +125,18 @@ def corpus_stats(spark, d):
     return sparse.corpus_stats(table(spark, d, "documents"), "text").withColumn("avg_len", r6("avg_len"))
 
 
-@query()
+_FOLDED = f"translate({{}}, '{sparse.FOLD_FROM}', '{sparse.FOLD_TO}')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_TERMS.format(_FOLDED.format('text'))}) AS term FROM documents)
+    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY 1""")
 def term_stats(spark, d):
     return sparse.term_stats(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, w AS (SELECT workspace_id, key, {_TERMS.format(_FOLDED.format('content'))} AS t FROM c),
+    u AS (SELECT workspace_id, key, len(t) AS n, unnest(t) AS term FROM w)
+    SELECT workspace_id, term, key AS chunk_id, CAST(count(*) AS INT) AS tf, CAST(any_value(n) AS INT) AS doc_len FROM u GROUP BY 1, 2, 3""")
 def postings(spark, d):
     return sparse.build_postings(distinct_chunks(spark, d), "key").select("workspace_id", "term", "chunk_id", "tf", "doc_len")
 
@@ -216,9 +231,8 @@ def lexical_topk_scoped(spark, d):
 
 # fusion
 _V = "v AS (SELECT min(vec_id) AS vec_id, key, any_value(embedding) AS embedding FROM (SELECT vec_id, workspace_id || '/' || chunk_id AS key, embedding FROM chunk_vectors WHERE embedding IS NOT NULL) WHERE vec_id IN (SELECT min(vec_id) FROM chunk_vectors WHERE embedding IS NOT NULL GROUP BY workspace_id, chunk_id) GROUP BY key)"
-_NORM0 = "list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x)) > 0"
-_DENSE = f"""{_V}, q AS (SELECT embedding AS qv FROM v ORDER BY vec_id LIMIT 1),
-        ds AS (SELECT e.key, round(1 - CASE WHEN {_NORM0} THEN {_COS.format(q='q.qv')} ELSE 0 END, 6) AS distance FROM v e, q),
+_DENSE = f"""{_V}, vg AS (SELECT key, vec_id, {_GRID} AS g FROM v), q AS (SELECT g AS qv FROM vg ORDER BY vec_id LIMIT 1),
+        ds AS (SELECT key, 1 - CASE WHEN list_dot_product(g, g) > 0 THEN {_GRID_COS} ELSE 0 END AS distance FROM vg, q),
         de AS (SELECT key, round(greatest(0, least(1, 1 - distance / 2)), 6) AS score, row_number() OVER (ORDER BY distance, key) AS rank FROM ds)"""
 _RRF = f"""{_MERGED}, {_DENSE},
         j AS (SELECT coalesce(d.key, s.key) AS key, d.score AS dense_score, d.rank AS dense_rank, s.bm25_score, s.rank AS sparse_rank,
@@ -233,11 +247,8 @@ _RRF_OUT = """key, round(hs, 9) AS hybrid_score, dense_score, bm25_score, CAST(f
 def _dense_hits(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "chunk_vectors").filter("embedding IS NOT NULL")
     first = v.groupBy("workspace_id", "chunk_id").agg(F.min(F.struct("vec_id", "embedding")).alias("m"))
-    v = first.select(F.concat_ws("/", "workspace_id", "chunk_id").alias("key"), "m.vec_id", "m.embedding")
-    q = F.array(*(F.lit(float(x)) for x in v.orderBy("vec_id").select("embedding").first()[0]))
-    best = v.select("key", r6(1 - vectors.cosine(F.col("embedding"), q)).alias("distance")).orderBy("distance", "key").limit(K)
-    rank = F.row_number().over(Window.orderBy("distance", "key"))
-    return best.select("key", r6(vectors.distance_to_score(F.col("distance"))).alias("score"), rank.alias("rank"))
+    v = on_grid(first.select(F.concat_ws("/", "workspace_id", "chunk_id").alias("key"), "m.vec_id", "m.embedding"))
+    return _six(dense.top_k(v, _first_vector(v), K, "key"), "distance", "score")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -360,7 +371,8 @@ def workspace_ids(spark, d):
     return w.select("workspace_id", ids.sanitize_id_col(F.col("slug")).alias("slug_id"), ids.workspace_id_col(F.col("root_path")).alias("derived"))
 
 
-@query()
+@query("""SELECT workspace_id, 'chunks__' || CASE WHEN length(workspace_id) > 40 THEN substr(workspace_id, 1, 29) || '_' || substr(sha1(workspace_id), 1, 10) ELSE workspace_id END AS collection
+    FROM workspaces""")
 def collection_names(spark, d):
     return table(spark, d, "workspaces").select("workspace_id", ids.collection_name_col("chunks", F.col("workspace_id")).alias("collection"))
 
@@ -399,9 +411,9 @@ def quality_warnings(spark, d):
     return table(spark, d, "eval_items").select("item_id", text.quality_warning_col(F.col("text"), F.lit(0)).alias("warning"))
 
 
-@query("SELECT name, sha256(content) AS digest FROM (SELECT lib_name AS name, content FROM upstream_files)")
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def content_hashes(spark, d):
-    return table(spark, d, "upstream_files").select(F.col("lib_name").alias("name"), ids.content_hash_col(F.col("content").cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", ids.content_hash_col(F.col("text").cast("binary")).alias("digest"))
 
 
 # chunking
@@ -444,15 +456,34 @@ def snippets(spark, d):
 
 
 # hashes, deltas and merges
-_CURRENT = "cur AS (SELECT workspace_id, filepath, max(sha256(content)) AS h FROM chunks WHERE chunk_type = 'file' GROUP BY 1, 2)"
-_STORED = "sto AS (SELECT workspace_id, filepath, max(lower(file_hash)) AS h FROM file_hashes GROUP BY 1, 2)"
-_DELTA = f"""{_CURRENT}, {_STORED}, dl AS (SELECT coalesce(c.workspace_id, s.workspace_id) AS workspace_id, coalesce(c.filepath, s.filepath) AS filepath,
+_IN_FILE = "PARTITION BY workspace_id, filepath ORDER BY s, e DESC, t"
+_LINES = "(length(t) - length(replace(t, chr(10), '')) + CASE WHEN t <> '' AND NOT suffix(t, chr(10)) THEN 1 ELSE 0 END)"
+#: Files put together from their chunks: what no earlier chunk holds of each, blank lines where no chunk holds any.
+_FILES = f"""o AS (SELECT DISTINCT workspace_id, filepath, coalesce(start_line, 1) AS s, coalesce(end_line, 1) AS e, coalesce(content, '') AS t, coalesce(chunk_type = 'file', false) AS whole
+          FROM chunks WHERE filepath IS NOT NULL),
+    pl AS (SELECT *, 1 + coalesce(max(e) OVER ({_IN_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS due FROM o),
+    hd AS (SELECT *, CASE WHEN starts_with(t, '# Class: ') AND {_LINES} = e - s + 2 THEN substr(t, strpos(t, chr(10)) + 1) ELSE t END AS u FROM pl WHERE e >= due),
+    dr AS (SELECT * REPLACE (CASE WHEN s < due THEN array_to_string(string_split(u, chr(10))[due - s + 1:], chr(10)) ELSE u END AS u) FROM hd),
+    pr AS (SELECT *, lag(u) OVER ({_IN_FILE}) AS p, CASE WHEN coalesce(bool_or(suffix(u, chr(13) || chr(10))) OVER ({_IN_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+          THEN chr(13) || chr(10) ELSE chr(10) END AS nl FROM dr),
+    pc AS (SELECT *, CASE WHEN p IS NOT NULL AND NOT suffix(p, chr(10)) AND NOT suffix(p, chr(13)) AND (s > due OR s = due AND u <> '') THEN nl ELSE '' END
+          || CASE WHEN s > due THEN repeat(nl, s - due) ELSE '' END || u AS piece FROM pr),
+    fi AS (SELECT workspace_id, filepath, string_agg(piece, '' ORDER BY s, e DESC, t) AS text FROM pc GROUP BY 1, 2)"""
+_STORED = "sto AS (SELECT workspace_id, filepath, max(lower(file_hash)) AS h FROM file_hashes WHERE filepath IS NOT NULL GROUP BY 1, 2)"
+#: Blank lines at the end of a cut file are in no chunk: the stored hash is tried with them.
+_CURRENT = f"""{_STORED}, {_FILES},
+    wh AS (SELECT workspace_id, filepath, bool_and(whole) AS whole, max(sha256(t)) AS h FROM o GROUP BY 1, 2),
+    fh AS (SELECT f.workspace_id, f.filepath, w.whole, f.text, CASE WHEN w.whole THEN w.h ELSE sha256(f.text) END AS h FROM fi f JOIN wh w ON w.workspace_id IS NOT DISTINCT FROM f.workspace_id AND w.filepath = f.filepath),
+    bl AS (SELECT x.workspace_id, x.filepath, x.sh FROM (SELECT f.*, st.h AS sh, unnest(range(1, {delta.BLANK_ENDS} + 1)) AS k FROM fh f JOIN sto st ON st.workspace_id IS NOT DISTINCT FROM f.workspace_id AND st.filepath = f.filepath
+          WHERE NOT f.whole AND st.h <> f.h) x WHERE sha256(x.text || repeat(CASE WHEN suffix(x.text, chr(13) || chr(10)) THEN chr(13) || chr(10) ELSE chr(10) END, k)) = x.sh),
+    cur AS (SELECT f.workspace_id, f.filepath, coalesce(b.sh, f.h) AS h FROM fh f LEFT JOIN bl b ON b.workspace_id IS NOT DISTINCT FROM f.workspace_id AND b.filepath = f.filepath)"""
+_DELTA = f"""{_CURRENT}, dl AS (SELECT coalesce(c.workspace_id, s.workspace_id) AS workspace_id, coalesce(c.filepath, s.filepath) AS filepath,
     CASE WHEN c.filepath IS NULL THEN 'deleted' WHEN s.filepath IS NULL THEN 'new' WHEN c.h <> s.h THEN 'modified' ELSE 'unchanged' END AS status,
     c.h AS current_hash, s.h AS stored_hash FROM cur c FULL JOIN sto s ON c.workspace_id = s.workspace_id AND c.filepath = s.filepath)"""
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    return delta.hash_files(table(spark, d, "chunks").filter("chunk_type = 'file'").withColumn("content", F.col("content").cast("binary")))
+    return delta.hash_chunked(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
 
 
 @query(f"WITH {_DELTA} SELECT * FROM dl")
@@ -462,73 +493,34 @@ def delta_classify(spark, d):
 
 @query(f"WITH {_DELTA} SELECT workspace_id, filepath FROM dl WHERE status = 'deleted'")
 def delta_deletes(spark, d):
-    return delta.deleted(_current(spark, d), table(spark, d, "file_hashes"))
+    return delta.deleted(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
 
 
 @query(f"WITH {_DELTA} SELECT workspace_id, filepath FROM dl WHERE status <> 'unchanged'")
 def delta_replace(spark, d):
-    return delta.to_replace(delta.classify(_current(spark, d), table(spark, d, "file_hashes")))
+    return delta.to_replace(delta_classify(spark, d))
 
 
 @query(f"""WITH {_DELTA} SELECT workspace_id, count(*) FILTER (WHERE status = 'new') AS new_files, count(*) FILTER (WHERE status = 'modified') AS modified_files,
     count(*) FILTER (WHERE status = 'unchanged') AS unchanged_files, count(*) FILTER (WHERE status = 'deleted') AS deleted_files,
     count(*) FILTER (WHERE status <> 'unchanged') AS changed_or_deleted FROM dl GROUP BY 1""")
 def delta_summary(spark, d):
-    return delta.summary(delta.classify(_current(spark, d), table(spark, d, "file_hashes")))
+    return delta.summary(delta_classify(spark, d))
 
 
-@query(f"""WITH {_CURRENT}, {_STORED} SELECT * FROM cur UNION ALL SELECT * FROM sto s WHERE NOT EXISTS
+@query(f"""WITH {_CURRENT} SELECT * FROM cur UNION ALL SELECT * FROM sto s WHERE NOT EXISTS
     (SELECT 1 FROM cur c WHERE c.workspace_id = s.workspace_id AND c.filepath = s.filepath)""")
 def upsert_merge(spark, d):
     """Stored hashes replaced by current ones."""
     stored = table(spark, d, "file_hashes").groupBy("workspace_id", "filepath").agg(F.max(F.lower("file_hash")).alias("h"))
-    current = _current(spark, d).groupBy("workspace_id", "filepath").agg(F.max("file_hash").alias("h"))
-    return store.upsert(stored, current, ["workspace_id", "filepath"])
+    return store.upsert(stored, _current(spark, d).withColumnRenamed("file_hash", "h"), ["workspace_id", "filepath"])
 
 
 @query(f"""WITH {_CURRENT} SELECT DISTINCT c.workspace_id, c.chunk_id, c.filepath FROM chunks c WHERE NOT EXISTS
     (SELECT 1 FROM (SELECT * FROM cur WHERE h < '4') x WHERE x.workspace_id = c.workspace_id AND x.filepath = c.filepath)""")
 def delete_by_files(spark, d):
     """Chunks without those of a set of files."""
-    gone = _current(spark, d).groupBy("workspace_id", "filepath").agg(F.max("file_hash").alias("h")).filter("h < '4'")
-    chunks = table(spark, d, "chunks").select("workspace_id", "chunk_id", "filepath").distinct()
-    return store.delete(chunks, gone, ["workspace_id", "filepath"])
-
-
-# the same over all files, those cut into several chunks included; SQL can't put them together
-def _whole(spark: SparkSession, d: str) -> DataFrame:
-    return delta.hash_chunked(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
-
-
-@query()
-def whole_delta_classify(spark, d):
-    return delta.classify(_whole(spark, d), table(spark, d, "file_hashes"))
-
-
-@query()
-def whole_delta_deletes(spark, d):
-    return delta.deleted(table(spark, d, "chunks"), table(spark, d, "file_hashes"))
-
-
-@query()
-def whole_delta_replace(spark, d):
-    return delta.to_replace(whole_delta_classify(spark, d))
-
-
-@query()
-def whole_delta_summary(spark, d):
-    return delta.summary(whole_delta_classify(spark, d))
-
-
-@query()
-def whole_upsert_merge(spark, d):
-    stored = table(spark, d, "file_hashes").groupBy("workspace_id", "filepath").agg(F.max(F.lower("file_hash")).alias("h"))
-    return store.upsert(stored, _whole(spark, d).withColumnRenamed("file_hash", "h"), ["workspace_id", "filepath"])
-
-
-@query()
-def whole_delete_by_files(spark, d):
-    gone = _whole(spark, d).withColumnRenamed("file_hash", "h").filter("h < '4'")
+    gone = _current(spark, d).withColumnRenamed("file_hash", "h").filter("h < '4'")
     chunks = table(spark, d, "chunks").select("workspace_id", "chunk_id", "filepath").distinct()
     return store.delete(chunks, gone, ["workspace_id", "filepath"])
 
@@ -564,41 +556,8 @@ def embed_documents(spark, d):
                  CASE WHEN items < 32 AND (items + 1) * l.n <= 8192 THEN items + 1 ELSE 1 END FROM s JOIN l ON l.workspace_id = s.workspace_id AND l.i = s.i + 1)
     SELECT workspace_id, CAST(batch AS INT) AS batch, count(*) AS items, CAST(max(n) AS INT) AS longest FROM s GROUP BY 1, 2""")
 def batch_plan(spark, d):
-    """Length-sorted batches per workspace. The fold needs the lengths of a workspace in one array, so they are packed in
-    runs of equal length first: a row per (workspace, length)."""
     once = table(spark, d, "chunks").select("workspace_id", "chunk_id", "filepath", "token_count").distinct()
-    runs = once.groupBy("workspace_id", F.col("token_count").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    packed = runs.groupBy("workspace_id").agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("runs"))
-    return packed.select("workspace_id", F.inline(_pack_runs(32, 8192)))
-
-
-def _pack_runs(most: int, tokens: int) -> Column:
-    """Batches (batch, items, longest) of runs of equal lengths in ascending order."""
-    start = F.struct(
-        F.array().cast("array<struct<batch:int,items:bigint,longest:int>>").alias("done"), F.lit(0).cast("bigint").alias("items"), F.lit(0).alias("longest")
-    )
-
-    def close(s: Column) -> Column:
-        row = F.array(F.struct(F.size(s["done"]).alias("batch"), s["items"].alias("items"), s["longest"].alias("longest")))
-        return F.when(s["items"] > 0, F.concat(s["done"], row)).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        room = F.greatest(F.least(F.lit(most), F.floor(F.lit(tokens) / x["length"]).cast("int")), F.lit(1)).cast("bigint")
-        fit = F.least(x["n"], F.when(s["items"] > 0, F.greatest(room - s["items"], F.lit(0))).otherwise(room))
-        rest = x["n"] - fit
-        whole = F.when(rest > 0, F.floor((rest - 1) / room)).otherwise(F.lit(0).cast("bigint"))
-        last = rest - whole * room
-        filled = F.struct(
-            s["done"].alias("done"), (s["items"] + fit).alias("items"), F.when(fit > 0, x["length"]).otherwise(s["longest"]).alias("longest")
-        )
-        full = close(filled)
-        more = F.when(
-            whole > 0,
-            F.transform(F.sequence(F.lit(1).cast("bigint"), whole), lambda i: F.struct((F.size(full) + i - 1).cast("int").alias("batch"), room.alias("items"), x["length"].alias("longest"))),
-        ).otherwise(F.array().cast("array<struct<batch:int,items:bigint,longest:int>>"))
-        return F.when(rest == 0, filled).otherwise(F.struct(F.concat(full, more).alias("done"), last.alias("items"), x["length"].alias("longest")))
-
-    return F.aggregate("runs", start, step, close)
+    return embed.batch_table(once, "workspace_id", "token_count", 32, 8192)
 
 
 # metrics
