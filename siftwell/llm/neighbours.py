@@ -1,12 +1,17 @@
 """Most similar vectors for every vector (problem 1): a hash-prefix forest.
 
 Each of ``trees`` trees gives a vector a string of ``BITS`` sign bits of random projections and keeps
-all strings sorted. The longest-prefix matches of a string are its neighbours in that order, so
-descending is a place in the sorted array, and ascending in step over all trees is a widening
-window around that place: the candidates at distance 1, 2, ... ``width`` on either side, in every
-tree at once. The sorted arrays are range partitions (hash strings with the id behind, so that equal
-strings split as well), and a task carries only the last ``width`` rows of its partition. The
-trees carry vectors of eight-bit components; whatever comes near ``min_cos`` is scored again exactly.
+all strings sorted, so that the strings with a common prefix are an interval of the array. A vector descends to
+its longest-prefix matches in each tree and ascends in all trees at once, one bit shorter at a time, until the
+intervals of all trees together hold ``target`` others; the length reached is the vector's level, and all in its
+intervals (at most ``width`` places to either side in a tree, nearest first) are its candidates.
+
+The sizes of intervals are estimated from the sorted strings of a bounded sample (``SAMPLE`` vectors by hash of id, scaled to
+the number of rows), so the level is known before anything is shuffled. The sample's quantiles also cut each tree
+into segments of about ``ROWS`` rows (by string, then id, so that equal strings are cut as well). A row whose
+interval reaches over a cut, and that lies near it, is sent to the segment beyond as well, so no pair is lost there
+and the result doesn't depend on how many tasks share the segments. The trees carry vectors of eight-bit
+components; whatever comes near ``min_cos`` is scored again exactly.
 
 Vectors of equal direction (components equal to five decimals after scaling) are one class; the
 forest holds one representative of each, so copies cost nothing however many there are.
@@ -33,6 +38,12 @@ from siftwell.session import spread
 TREES = 24
 BITS = 64
 WIDTH = 48
+#: Candidates in all trees together at which the ascent stops.
+TARGET = 600
+#: Vectors whose strings are held by every task to estimate the sizes of intervals.
+SAMPLE = 16_384
+#: Rows of a segment, as long as the sample can tell that many segments apart.
+ROWS = 32_768
 SEED = 20240611
 #: Eight-bit cosines are off by less than this for vectors of a few dozen components or more.
 SLACK = 0.02
@@ -118,36 +129,153 @@ def _planted(reps: DataFrame, trees: int, partitions: int | None) -> DataFrame:
     return planted.repartitionByRange(parts, "tree", "hash", "id").sortWithinPartitions("tree", "hash", "id")
 
 
-def forest_pairs(reps: DataFrame, min_cos: float, trees: int = TREES, width: int = WIDTH, partitions: int | None = None) -> DataFrame:
-    """(a, b, cos): pairs of representatives, a < b, that meet in some tree within ``width`` places and
-    whose cosine is at least ``min_cos``."""
+def _strings(m: np.ndarray, dim: int, trees: int) -> np.ndarray:
+    """(rows, trees): the hash strings as numbers that sort as the strings do."""
+    bits = np.packbits(m @ _planes(dim, trees) > 0, axis=1).reshape(len(m), trees, BITS // 8)
+    return bits.copy().view(">u8")[:, :, 0].astype(np.uint64)
+
+
+def _interval(strings: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last string with the same first ``levels`` bits."""
+    rest = np.where(levels <= 0, np.uint64(2**64 - 1), (np.uint64(1) << (BITS - np.clip(levels, 1, BITS)).astype(np.uint64)) - np.uint64(1))
+    return strings & ~rest, strings | rest
+
+
+class Forest:
+    """Sorted strings of a sample of ``n`` vectors of one length, tree by tree."""
+
+    def __init__(self, ids: np.ndarray, unit: np.ndarray, n: int, trees: int, target: int, width: int):
+        dim = unit.shape[1]
+        strings = _strings(unit, dim, trees)
+        self.trees, self.target, self.scale = trees, target, max(1.0, n / max(1, len(ids)))
+        segments = max(1, min(-(-n // ROWS), len(ids) // 16))
+        self.near = int(2 * width / self.scale) + 8  # places of the sample that ``width`` rows may take
+        self.order, self.cuts = [], []
+        for t in range(trees):
+            at = np.lexsort((ids, strings[:, t]))
+            self.order.append(strings[at, t])
+            cut = at[(np.arange(1, segments) * len(at)) // segments]
+            self.cuts.append((strings[cut, t], ids[cut]))
+
+    def levels(self, strings: np.ndarray) -> np.ndarray:
+        """For each row the longest prefix at which its intervals of all trees hold ``target`` vectors."""
+        low, high = np.zeros(len(strings), np.int64), np.full(len(strings), BITS, np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            held = np.zeros(len(strings))
+            for t in range(self.trees):
+                first, last = _interval(strings[:, t], mid)
+                held += np.searchsorted(self.order[t], last, "right") - np.searchsorted(self.order[t], first, "left")
+            enough = held * self.scale >= self.target + self.trees
+            low, high = np.where(enough, mid, low), np.where(enough, high, mid - 1)
+        return low
+
+    def segments(self, t: int, strings: np.ndarray, ids: np.ndarray, levels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """(rows, segments, whether they are guests): where the rows of tree ``t`` go."""
+        cut, cut_ids = self.cuts[t]
+        own = np.searchsorted(cut, strings, "left")
+        while len(tied := np.flatnonzero((own < len(cut)) & (cut[np.minimum(own, len(cut) - 1)] == strings) & (cut_ids[np.minimum(own, len(cut) - 1)] <= ids))) if len(cut) else ():
+            own[tied] += 1
+        out = [(np.arange(len(ids)), own, False)]
+        if len(cut):
+            first, last = _interval(strings, levels)
+            place, ends = np.searchsorted(self.order[t], strings, "left"), np.searchsorted(self.order[t], strings, "right")
+            where = (np.searchsorted(self.order[t], cut, "left"), np.searchsorted(self.order[t], cut, "right"))
+            for side, bound in ((-1, own - 1), (1, own)):
+                at = np.clip(bound, 0, len(cut) - 1)
+                close = (place - self.near <= where[1][at]) & (ends + self.near >= where[0][at])
+                over = (first <= cut[at]) if side < 0 else (last >= cut[at])
+                rows = np.flatnonzero((bound >= 0) & (bound < len(cut)) & close & over)
+                out.append((rows, own[rows] + side, True))
+        return out
+
+
+def fit_forest(units: DataFrame, trees: int, target: int, width: int) -> dict[int, Forest]:
+    """A forest for each length of vectors, from ``SAMPLE`` vectors of it at most (fewer where many are copies)."""
+    counts = {r.dim: r.n for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for dim, n in sorted(counts.items()):
+        mine = units.filter(F.col("dim") == dim).select("id", "same", "unit")
+        rows = mine.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        once = {r.same: r for r in reversed(rows)}.values()
+        unit = np.frombuffer(b"".join(bytes(r.unit) for r in once), np.float32).reshape(len(once), dim)
+        out[dim] = Forest(np.array([r.id for r in once], np.int64), unit, max(len(once), n * len(once) // len(rows)), trees, target, width)
+    return out
+
+
+def forest_pairs(
+    reps: DataFrame, min_cos: float, trees: int = TREES, width: int = WIDTH, partitions: int | None = None, target: int | None = None, units: DataFrame | None = None
+) -> DataFrame:
+    """(a, b, cos): pairs of representatives, a < b, of which one is a candidate of the other and whose cosine is at
+    least ``min_cos``. ``units`` are the rows that ``reps`` stand for, from which the sample is taken without a shuffle."""
+    units = reps.withColumn("same", F.col("id").cast("string")) if units is None else units
+    target = target or TARGET * trees * width // (TREES * WIDTH)
+    forest = reps.sparkSession.sparkContext.broadcast(fit_forest(units, trees, target, width))  # at most SAMPLE strings a tree and length
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                ids = batch.column(0).to_numpy()[at]
+                m = _matrix(batch.column(2).take(pa.array(at)), np.float32)
+                f, strings = forest.value[int(dim)], _strings(m, int(dim), trees)
+                levels = f.levels(strings)
+                low = np.round(m * (127 / np.abs(m).max(1, keepdims=True))).astype(np.int8)
+                for t in range(trees):
+                    for rows, segment, guest in f.segments(t, strings[:, t], ids, levels):
+                        if len(rows):
+                            yield pa.record_batch(
+                                [
+                                    pa.array(np.full(len(rows), dim * trees + t, np.int32)), pa.array(segment.astype(np.int32)), pa.array((strings[rows, t] ^ np.uint64(1 << 63)).view(np.int64)),
+                                    pa.array(ids[rows]), pa.array(levels[rows].astype(np.int8)), pa.array(np.full(len(rows), guest)), _blob(low[rows]),
+                                ],
+                                ["tree", "segment", "hash", "id", "level", "guest", "low"],
+                            )
+
+    def pairs_of(strings: np.ndarray, ids: np.ndarray, levels: np.ndarray, guest: np.ndarray, low: np.ndarray) -> pa.RecordBatch | None:
+        n, place = len(ids), np.arange(len(ids))
+        first, last = _interval(strings, levels)
+        left = np.minimum(place - np.searchsorted(strings, first, "left"), width)
+        right = np.minimum(np.searchsorted(strings, last, "right") - 1 - place, width)
+        m = low.astype(np.float32)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        a, b = [], []
+        for step in range(1, min(width, n - 1) + 1):
+            at = np.flatnonzero(((right[: n - step] >= step) | (left[step:] >= step)) & ~(guest[: n - step] & guest[step:]))
+            at = at[np.einsum("ij,ij->i", m[at], m[at + step]) >= min_cos - SLACK]
+            a.append(ids[at])
+            b.append(ids[at + step])
+        if not a:
+            return None
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None
+        held: list[list[np.ndarray]] = []
+        key = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held and (got := pairs_of(*(np.concatenate(x) for x in zip(*held)))) is not None:
+                yield got
+            held.clear()
+
         for batch in batches:
-            tree, ids, blob = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
-            for t in np.unique(tree):
-                at = np.flatnonzero(tree == t)
-                own, m = ids[at], _matrix(blob.slice(at[0], len(at)), np.int8).astype(np.float32)
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
-                old = 0
-                if kept is not None and kept[0] == t:
-                    old = len(kept[1])
-                    own, m = np.concatenate([kept[1], own]), np.concatenate([kept[2], m])
-                kept = (t, own[-width:], m[-width:])
-                left, right = [], []
-                for step in range(1, min(width, len(own) - 1) + 1):
-                    first = max(0, old - step)  # both in what was kept: seen before
-                    near = np.einsum("ij,ij->i", m[first : len(m) - step], m[first + step :]) >= min_cos - SLACK
-                    at2 = np.flatnonzero(near) + first
-                    left.append(own[at2])
-                    right.append(own[at2 + step])
-                if left:
-                    a, b = np.concatenate(left), np.concatenate(right)
-                    if len(a):
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    met = _planted(reps, trees, partitions).mapInArrow(scan, "a bigint, b bigint").distinct()
+            keys = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            for start, stop in zip([0, *edges], [*edges, len(keys)]):
+                if keys[start] != key:
+                    yield from flush()
+                    key = keys[start]
+                part = batch.slice(start, stop - start)
+                strings = part.column(2).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+                held.append([strings, part.column(3).to_numpy(), part.column(4).to_numpy().astype(np.int64), part.column(5).to_numpy(zero_copy_only=False), _matrix(part.column(6), np.int8)])
+        yield from flush()
+
+    planted = reps.select("id", "dim", "unit").mapInArrow(plant, "tree int, segment int, hash bigint, id bigint, level byte, guest boolean, low binary")
+    parts = partitions or max(trees, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    segments = planted.repartition(parts, "tree", "segment").sortWithinPartitions("tree", "segment", "hash", "id")
+    met = segments.mapInArrow(scan, "a bigint, b bigint").distinct()
     return exact_cosines(met, reps).filter(F.col("cos") >= min_cos)
 
 
@@ -173,7 +301,7 @@ def similar_pairs(vectors: DataFrame, min_cos: float = 0.9, id_col: str = "vec_i
     reps = representatives(units)
     rep = units.groupBy("dim", "same").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
     members = units.select("id", "dim", "same").join(rep, ["dim", "same"]).select("id", "rep", "copies").distinct()
-    return forest_pairs(reps, min_cos, **forest), members
+    return forest_pairs(reps, min_cos, units=units, **forest), members
 
 
 def mutual_pairs(vectors: DataFrame, k: int = 10, min_cos: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", **forest) -> DataFrame:
@@ -183,7 +311,7 @@ def mutual_pairs(vectors: DataFrame, k: int = 10, min_cos: float = 0.9, id_col:
     by id), so only they are expanded; the window's limit is applied before the shuffle."""
     units = usable_vectors(vectors, id_col, vec_col)
     reps = representatives(units)
-    pairs = forest_pairs(reps, min_cos, **forest)
+    pairs = forest_pairs(reps, min_cos, units=units, **forest)
     first = Window.partitionBy("dim", "same").orderBy("id")
     heads = (
         units.select("id", "dim", "same")
@@ -313,3 +441,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id",
     own = members.join(rep, ["dim", "same"]).select(F.col("id").alias("vec_id"), "rep").join(lists, "rep")
     own = own.select("vec_id", F.slice(F.filter("x", lambda e: e["id"] != F.col("vec_id")), 1, k).alias("x"))
     return own.filter(F.size("x") > 0).select("vec_id", F.col("x.id").alias("neighbours"), F.col("x.cos").alias("cosines"))
+
+
+def mutual_of(lists: DataFrame) -> DataFrame:
+    """(vec_lo, vec_hi) of ``nearest_neighbours``: pairs that stand in each other's list."""
+    each = lists.select("vec_id", F.explode("neighbours").alias("other"))
+    both = each.select(F.least("vec_id", "other").alias("vec_lo"), F.greatest("vec_id", "other").alias("vec_hi"))
+    return both.groupBy("vec_lo", "vec_hi").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,8 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_embeddings_found(spark: SparkSession, d: str) -> DataFrame:
-    """Its vectors are less alike (0.6 at most), so the bar is lower and the window wider."""
-    return neighbours.mutual_pairs(table(spark, d, "embeddings"), min_cos=0.4, width=400)
+    """Pairs of embeddings, each among the other's ten most similar, without a bar."""
+    return neighbours.mutual_of(neighbours.nearest_neighbours(table(spark, d, "embeddings")))
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +109,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p7_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the sources at half of the greatest entropy that equal shares of eight sources would have."""
+    return mixing.temperature_shares(mixing.source_totals(table(spark, d, "documents")), math.log(8) / 2)
+
+
 def p7_source_totals(spark: SparkSession, d: str) -> DataFrame:
     return mixing.source_totals(table(spark, d, "documents"))
 

@@ -1,9 +1,11 @@
 import itertools
 import math
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import garbled, leakage, mixing, neighbours
 
@@ -52,6 +54,24 @@ def test_exponent_meets_entropy(spark):
     assert {round(r.share, 6) for r in mixing.temperature_shares(totals, 9.0).collect()} == {round(1 / 3, 6)}
 
 
+def test_reachable_from_the_exponent(spark):
+    docs, targets, rows = mix_frames(spark)
+    for p in mixing.plan_mix(docs, targets).collect():
+        assert p.reachable == (p.cap_tokens >= p.want_tokens) == (p.source_alpha == 1.0) and p.source_alpha >= p.alpha - 1e-9 or p.source_tokens == 0
+
+
+def test_sizes_by_a_tokenizer(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files")
+    docs, targets, rows = mix_frames(spark)
+    from tokenizers import Tokenizer
+
+    n = len(Tokenizer.from_file(path).encode("xxxxx", add_special_tokens=False).ids)
+    totals = {r.source: (r.docs, r.tokens) for r in mixing.source_totals(docs, mixing.tokenizer_tokens(F.col("text"), path)).collect()}
+    assert all(tokens == n * count for count, tokens in totals.values())
+
+
 # leakage
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(5)
@@ -127,6 +147,35 @@ def test_mutual_neighbours_recall(spark):
     assert neighbours.mutual_pairs(df.limit(0)).count() == 0
 
 
+def test_cuts_and_tasks_lose_no_pair(spark, monkeypatch):
+    m = clustered(7, 3000, 24)
+    m[:900] = m[0] + 0.02 * np.random.default_rng(8).standard_normal((900, 24)).astype(np.float32)  # nearly one direction: long equal strings
+    ids = np.random.default_rng(9).permutation(len(m)).tolist()
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "vec_id bigint, embedding array<float>")
+    want = mutual_truth(ids[900:], m[900:])
+    got = []
+    for rows, parts in ((10**6, 8), (300, 8), (300, 100)):
+        monkeypatch.setattr(neighbours, "ROWS", rows)
+        pairs = {(r.a, r.b) for r in neighbours.similar_pairs(df, partitions=parts)[0].collect()}
+        got.append(pairs)
+        assert want <= pairs | {p for p in want if p not in pairs and len(want - pairs) <= 0.01 * len(want)}
+    assert got[1] == got[2] and len(got[0] ^ got[1]) <= 0.02 * len(got[0])
+
+
+def test_levels_hold_the_target():
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((2000, 16)).astype(np.float32)
+    f = neighbours.Forest(np.arange(2000), u, 2000, 6, 120, 48)
+    strings = neighbours._strings(u, 16, 6)
+    levels = f.levels(strings)
+
+    def held(i, level):
+        return sum(int((strings[:, t] >> np.uint64(64 - level) == strings[i, t] >> np.uint64(64 - level)).sum()) if level else 2000 for t in range(6))
+
+    for i in range(0, 2000, 97):
+        assert held(i, int(levels[i])) >= 126 and (levels[i] == 64 or held(i, int(levels[i]) + 1) < 126)
+
+
 def test_hot_copies(spark):
     v, w = [1.0, 2.0, 3.0, 4.0], [4.0, -3.0, 2.0, -1.0]
     df = spark.range(3000).selectExpr("id AS vec_id", f"CASE WHEN id % 3 = 0 THEN array({','.join(map(str, w))}) ELSE array({','.join(map(str, v))}) END AS embedding")
