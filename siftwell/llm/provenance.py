@@ -1,9 +1,11 @@
 """Generated, minified and vendored source files, and data stored as code (problem 4).
 
-Each file is lexed (comments, literals, words, numbers, marks) and laid out anew: one line per statement or
-block mark, as a formatter would. Comparing the two layouts gives the verdict: a layout that grows
-severalfold was minified; lines that repeat a few shapes throughout, or a banner in the file's leading
-comments, mark the output of a generator; a file in which literals make up nearly everything is data.
+Each file is lexed (comments, literals, words, numbers, marks) and emitted anew as a formatter would: one statement or
+block mark a line, indented by depth, one blank where layout allows one. Comparing the original layout with that gives
+the verdict, by shares that hold at any length: a text that grows in lines and has hardly any of the blanks was
+minified; one whose lines are indented exactly as their depth in the emitted layout asks (19 of 20 lines at least) and repeat a few
+shapes throughout with names counted through, or a banner in the file's leading comments, mark the output of a generator; a file in which literals make up
+nearly everything is data.
 Third-party copies are found by five-word shingles: a file that holds at least 0.8 of the shingles of a
 published file (its notice left out) is a copy of it.
 
@@ -18,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ LOCK_NAMES = frozenset(
 )
 SHINGLE = 5
 COPY_SHARE = 0.8
-#: Published files are held in memory by every task; more text than this is matched in several passes.
+#: Published files of at most so many characters are held in memory by every task; more are joined.
 UPSTREAM_CHARS = 8_000_000
 
 _WORD = re.compile(r"\w+")
@@ -81,10 +84,65 @@ def is_lock(path: str, text: str) -> bool:
     return name.endswith((".lock", ".lockfile")) and ("checksum" in text or "integrity" in text or "hash" in text or "[[package" in text)
 
 
-def layout(suffix: str, text: str) -> dict[str, float]:
-    """What lexing and canonical layout tell: lines and canonical lines (one per statement or block mark),
-    the longest line, the length of literals and of names, line shapes (names w, literals s, numbers 0)."""
+_LEXEMES = re.compile(r"[^\W\d]\w*|\d[\w.]*|\x00|\n|[^\s\w]")
+#: Marks after which a formatter leaves a blank or ends the line.
+_GAPS = re.compile(r"(?:[,;{](?![)\]};,\x00]*(?:\s*\Z))|\}(?![)\]};,.(]))(\s?)")
+
+
+def emit(suffix: str, code: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
+    """(depth, text) of the lines of the canonical layout, and (depth, indentation, text) of the lines as they were; texts are lexemes with
+    one blank between them. ``code`` has no comments, and its strings are ``\\x00``."""
     python = suffix == "py"
+    lines: list[tuple[int, str]] = []
+    was: list[tuple[int, int, str]] = []
+    line: list[str] = []
+    row: list[str] = []
+    depth = rounds = begin = start = indent = 0
+
+    def end() -> None:
+        if line:
+            lines.append((depth, " ".join(line)))
+            line.clear()
+
+    for m in _LEXEMES.finditer(code + "\n"):
+        x = m.group()
+        if x == "\n":
+            if row:
+                was.append((start, indent, " ".join(row)))
+                row = []
+            begin = m.end()
+            if python and not rounds or not python and not rounds and line and line[-1] not in ",=+-*/&|<>?:.(":
+                end()
+            continue
+        if not row:
+            start, indent = depth - (x == "}") if not python else 0, m.start() - begin
+        row.append(x)
+        if x in "([" or python and x == "{":
+            rounds += 1
+        elif x in ")]" or python and x == "}":
+            rounds = max(0, rounds - 1)
+        if not python and x == "}":
+            end()
+            depth = max(0, depth - 1)
+            line.append(x)
+            end()
+            continue
+        if python and x == ";" and not rounds:
+            end()
+            continue
+        line.append(x)
+        if not python and x == "{":
+            end()
+            depth += 1
+        elif not python and x == ";" and not rounds:
+            end()
+    end()
+    return lines, was
+
+
+def layout(suffix: str, text: str) -> dict[str, float]:
+    """What laying a file out anew tells: its lines and the emitted ones, the part of its lines that are indented as is usual at
+    their depth, the part of the formatter's blanks that it lacks; the length of literals and of names; line shapes (names w, literals s, numbers 0)."""
     literal = 0
 
     def drop(m: re.Match) -> str:
@@ -95,38 +153,33 @@ def layout(suffix: str, text: str) -> dict[str, float]:
         literal += len(found)
         return "\x00"
 
-    code = (_STRINGS_HASH if python else _STRINGS_SLASH).sub(drop, text)
+    code = (_STRINGS_HASH if suffix == "py" else _STRINGS_SLASH).sub(drop, text)
     names = _NAMES.findall(code)
     running = len(_RUNNING.findall(code))
     literal += sum(map(len, _NUMBERS.findall(code)))
-    shaped = _NUMBERS.sub("0", _NAMES.sub("w", code)).replace(" ", "").replace("\t", "").replace("\r", "")
-    rows = [x for x in shaped.split("\n") if x]
-    shapes = Counter(rows)
-    marks = _HEADS.sub("", shaped)  # the parts of a loop's head are no statements
-    ends = marks.count(";")
-    canonical = ends + sum(1 for r in rows if r[-1] not in ";{},+([\\")
-    if not python:
-        canonical += marks.count("{") + marks.count("}")
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    emitted, was = emit(suffix, code)
+    gaps = _GAPS.findall(code)
+    shaped = [(d, i, _NUMBERS.sub("0", _NAMES.sub("w", x))) for d, i, x in was]
+    shapes = Counter(x for _, _, x in shaped)
+    usual: dict[tuple, Counter] = {}
+    for d, i, x in shaped:  # Python's depth is its indentation, so there each shape must keep to its own
+        usual.setdefault((d, x) if suffix == "py" else (d,), Counter())[i] += 1
     return {
-        "lines": len(lines),
-        "canonical": canonical,
-        "longest": max(map(len, lines), default=0),
+        "lines": len(was),
+        "emitted": len(emitted),
+        "regular": sum(max(c.values()) for c in usual.values()) / max(1, len(was)),
+        "tight": sum(not g for g in gaps) / max(1, len(gaps)) if gaps else 0.0,
         "literal": literal,
-        "words": len(names),
         "word_chars": sum(map(len, names)),
-        "code_lines": len(rows),
         "shapes": len(shapes),
         "common": sum(sorted(shapes.values())[-8:]),
         "numbered": running / max(1, len(names)),
     }
 
 
-def is_minified(f: dict[str, float], size: int) -> bool:
-    if size < 200:
-        return False
-    mean = size / max(1, f["lines"])
-    return f["canonical"] >= 4 * max(1, f["lines"]) and mean > 150 or f["canonical"] >= 10 and f["longest"] > 0.5 * size and f["canonical"] >= 2.5 * f["lines"] and mean > 100
+def is_minified(f: dict[str, float]) -> bool:
+    """The emitted layout has several times the lines, and nearly none of its blanks were there."""
+    return f["emitted"] >= 2.5 * max(1, f["lines"]) and f["tight"] >= 0.7
 
 
 def _only_names(suffix: str, text: str) -> bool:
@@ -166,10 +219,8 @@ def is_data(suffix: str, f: dict[str, float], text: str) -> bool:
 
 
 def is_uniform(f: dict[str, float]) -> bool:
-    """Few line shapes throughout, names counted through."""
-    if f["code_lines"] < 12:
-        return False
-    return f["common"] >= 0.8 * f["code_lines"] and f["shapes"] <= 0.35 * f["code_lines"] and f["numbered"] >= 0.12
+    """Indented by depth throughout, few line shapes throughout, names counted through."""
+    return f["regular"] >= 0.95 and f["common"] >= 0.8 * f["lines"] and f["shapes"] <= 0.35 * f["lines"] and f["numbered"] >= 0.12
 
 
 def verdicts(path: str, text: str) -> list[str]:
@@ -182,7 +233,7 @@ def verdicts(path: str, text: str) -> list[str]:
         out.append("generated")
     if suffix in LAID_OUT and text.strip():
         f = layout(suffix, text)
-        if is_minified(f, len(text)):
+        if is_minified(f):
             out.append("minified")
         if is_data(suffix, f, text):
             out.append("data")
@@ -240,29 +291,53 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 ORDER = ("lock", "third_party", "minified", "data", "generated")
 
 
+def published_files(upstream: DataFrame) -> DataFrame:
+    """(name, text)."""
+    return upstream.select(F.concat_ws(" ", "lib_name", "version", "filepath").alias("name"), F.col("content").alias("text")).dropna().distinct()
+
+
 def file_origins(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     """(workspace_id, filepath, origin, marks, copy_of) of every file; origin ``written`` where no mark holds.
 
-    ``upstream`` is collected in blocks of at most ``UPSTREAM_CHARS`` characters (by hash of the name); a file's
-    verdict is the first over the blocks."""
-    rows = upstream.select(
-        F.concat_ws(" ", "lib_name", "version", "filepath").alias("name"), F.col("content").alias("text")
-    ).dropna().distinct()
+    Up to ``UPSTREAM_CHARS`` characters of published files are held by every task as an index; more are joined by the hashes of
+    their shingles. Each file is lexed once either way."""
+    rows = published_files(upstream)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // UPSTREAM_CHARS))
-    out = None
-    for b in range(blocks):
-        mine = rows.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b) if blocks > 1 else rows
-        files = [tuple(r) for r in mine.sort("name", "text").collect()]
-        key = xxhash.xxh3_128_hexdigest(repr(files).encode("utf-8", "surrogatepass"))
-        published = _Origins(chunks.sparkSession.sparkContext.broadcast(files), key)
-        part = map_files(chunks, "origin string,marks array<string>,copy_of string", published)
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:
-        rank = F.element_at(F.create_map(*(F.lit(x) for o, n in zip((*ORDER, "written"), range(9)) for x in (o, n))), "origin")
-        out = out.groupBy("workspace_id", "filepath").agg(F.min(F.struct(rank.alias("n"), "origin", "marks", "copy_of")).alias("x"))
-        out = out.select("workspace_id", "filepath", "x.origin", "x.marks", "x.copy_of")
-    return out
+    files = [tuple(r) for r in rows.sort("name", "text").collect()] if size <= UPSTREAM_CHARS else []
+    key = xxhash.xxh3_128_hexdigest(repr(files).encode("utf-8", "surrogatepass"))
+    held = _Origins(chunks.sparkSession.sparkContext.broadcast(files), key)
+    out = map_files(chunks, "origin string,marks array<string>,copy_of string", held)
+    if size <= UPSTREAM_CHARS:
+        return out
+    keys = ["workspace_id", "filepath"]
+    found = out.join(joined_copies(chunks, rows), [out[k].eqNullSafe(F.col("c_" + k)) for k in keys], "left").select(*keys, "marks", F.col("copy").alias("copy_of"))
+    marks = F.when(F.col("copy_of").isNull(), F.col("marks")).otherwise(F.concat("marks", F.array(F.lit("third_party"))))
+    first = F.coalesce(*(F.when(F.array_contains("marks", o), F.lit(o)) for o in ORDER), F.lit("written"))
+    return found.withColumn("marks", marks).select(*keys, first.alias("origin"), "marks", "copy_of")
+
+
+def joined_copies(chunks: DataFrame, published: DataFrame) -> DataFrame:
+    """(c_workspace_id, c_filepath, copy): files that hold at least ``COPY_SHARE`` of a published one's shingles, the best of several;
+    shingles meet by their hashes, so nothing is held by the driver or by every task."""
+
+    def grams(text: str) -> set[int]:
+        return {xxhash.xxh3_64_intdigest(" ".join(g).encode("utf-8", "surrogatepass")) - 2**63 for g in shingles(_WORD.findall(text.lower()))}
+
+    def of_published(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            name, gram, size = [], [], []
+            for n, t in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = sorted(grams(t[_LEAD_NOTICE.match(t).end() :]))
+                name += [n] * len(mine)
+                gram += mine
+                size += [len(mine)] * len(mine)
+            yield pa.record_batch([pa.array(name, pa.string()), pa.array(gram, pa.int64()), pa.array(size, pa.int32())], ["name", "gram", "size"])
+
+    theirs = published.select("name", "text").mapInArrow(of_published, "name string, gram bigint, size int")
+    ours = map_files(chunks, "gram bigint", lambda path, text: [(g,) for g in grams(text)])
+    shared = ours.join(theirs, "gram").groupBy("workspace_id", "filepath", "name").agg((F.count(F.lit(1)) / F.max("size")).alias("share"))
+    best = shared.filter(F.col("share") >= COPY_SHARE).groupBy("workspace_id", "filepath").agg(F.min(F.struct(-F.col("share"), "name")).alias("b"))
+    return best.select(F.col("workspace_id").alias("c_workspace_id"), F.col("filepath").alias("c_filepath"), F.col("b.name").alias("copy"))
 
 
 class _Origins:

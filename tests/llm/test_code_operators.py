@@ -157,6 +157,30 @@ def test_vendored(spark):
     assert provenance.hand_written(chunks(spark, files), ups.limit(0)).count() == 4
 
 
+def test_vendored_by_join(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "UPSTREAM_CHARS", 10)
+    test_vendored(spark)
+
+
+@pytest.mark.parametrize(
+    "path,text,marks",
+    [
+        ("m.js", "function a(e,t){return e?t+1:b(e)}var c=a(1,2);", ["minified"]), ("m.css", ".a{margin:0;color:red}.b{padding:1px}", ["minified"]), ("w.js", "function a(e, t) {\n  return e ? t + 1 : b(e);\n}\n", []),
+        ("o.js", "export const id = (x) => { return x; };\n", []), ("e.js", "const a = {};\n", []), ("e.css", "/* none */\n", []),
+    ],
+)
+def test_layout_at_any_length(path, text, marks):
+    assert provenance.verdicts(path, text) == marks
+
+
+def test_emitted_layout():
+    lines, was = provenance.emit("js", "function f(a){if(a){return g(a,1);}for(var i=0;i<3;i++){h(i)}}")
+    assert [x for _, x in lines] == ["function f ( a ) {", "if ( a ) {", "return g ( a , 1 ) ;", "}", "for ( var i = 0 ; i < 3 ; i + + ) {", "h ( i )", "}", "}"]
+    assert [d for d, _ in lines] == [0, 1, 2, 1, 1, 2, 1, 0] and len(was) == 1
+    lines, was = provenance.emit("py", "x = f(\n    1,\n)\nif x: y = 2; z = 3\n")
+    assert [x for _, x in lines] == ["x = f ( 1 , )", "if x : y = 2", "z = 3"] and len(was) == 4
+
+
 def test_parse_frames(spark):
     df = chunks(spark, [("a.py", "x = 1"), ("b.go", "package a\nfunc f( {"), ("c.txt", "("), ("d.json", None)])
     assert {r.filepath: r.edit_cost > 0 for r in parsing.parse_files(df).collect()} == {"a.py": False, "b.go": True, "d.json": True}
