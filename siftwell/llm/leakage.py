@@ -6,7 +6,13 @@ windows of ``min_run`` words has, so one threshold, 1, serves all items: a passa
 window scores at least 1, and nothing is lost by the cut. Items that are retrieved are then compared
 word by word.
 
-Passages overlap by ``min_run - 1`` words, so that each run lies wholly within one.
+Passages overlap by ``min_run - 1`` words, so that each run lies wholly within one. Two conditions, which lose nothing, spare
+most passages the query: a run consists of words that items have, so passages are cut from the runs of such words
+that are long enough; and every window of an item has a rarest word, so a passage is compared only with the items whose
+rarest words it has.
+
+Items of up to ``INDEX_CHARS`` characters in all form one index that every task holds. More than that are not collected: windows
+of items and documents meet in a join by their 128-bit hashes.
 
 Defined results: null or wordless texts match nothing; items of fewer than ``min_run`` words match
 nothing; repeated rows of documents or items do not repeat the result; documents or items with a
@@ -20,8 +26,10 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,7 +41,7 @@ K1, B = 1.2, 0.75
 MIN_RUN = 12
 PASSAGE = 32
 BLOCK = 16
-#: Characters of item text in one index; more items make more indexes, each queried by every passage.
+#: Characters of item text up to which one index is held by every task.
 INDEX_CHARS = 16_000_000
 
 
@@ -55,6 +63,7 @@ class ItemIndex:
         average = sum(map(len, texts)) / max(1, len(texts))
         postings: dict[int, list[tuple[int, float]]] = {}
         self.windows: list[set[tuple[int, ...]]] = []
+        self.rarest: dict[int, list[int]] = {}  # term -> items of which it is the rarest of some window
         for d, x in enumerate(texts):
             norm = K1 * (1 - B + B * len(x) / average)
             impact = {
@@ -66,6 +75,9 @@ class ItemIndex:
             for t, s in impact.items():
                 postings.setdefault(t, []).append((d, s / least))
             self.windows.append(runs)
+            rank = {t: (df[t], t) for t in impact}
+            for t in {min(r, key=rank.__getitem__) for r in runs}:
+                self.rarest.setdefault(t, []).append(d)
         self.terms = {}
         for t, rows in postings.items():
             at, impacts = [d for d, _ in rows], [s for _, s in rows]
@@ -73,8 +85,8 @@ class ItemIndex:
             highs = [max(impacts[i : i + BLOCK]) for i in range(0, len(at), BLOCK)]
             self.terms[t] = (at, impacts, ends, highs, max(impacts))
 
-    def retrieve(self, terms: set[int]) -> list[int]:
-        """Places of the items that score at least 1 for a passage with these terms."""
+    def retrieve(self, terms: set[int], among: list[int] | None = None) -> list[int]:
+        """Places of the items (of those ``among``, in order) that score at least 1 for a passage with these terms."""
         live = [[self.terms[t][0][0], 0, self.terms[t]] for t in terms]  # item, position, posting list
         if sum(c[2][4] for c in live) < 1:
             return []
@@ -89,6 +101,13 @@ class ItemIndex:
             if total < 1:
                 break
             pivot = live[p][0]
+            if among is not None:
+                k = bisect_left(among, pivot)
+                if k == len(among):
+                    break
+                if among[k] > pivot:
+                    live = self._forward(live, among[k])
+                    continue
             while p + 1 < len(live) and live[p + 1][0] == pivot:
                 p += 1
             bound, until = 0.0, math.inf
@@ -109,57 +128,88 @@ class ItemIndex:
                 to = max(pivot + 1, until) if until < math.inf else pivot + 1
                 if p + 1 < len(live):
                     to = max(pivot + 1, min(to, live[p + 1][0]))
-            for c in live[: p + 1]:
-                if c[0] < to:
-                    c[1] = bisect_left(c[2][0], to, c[1])
-                    c[0] = c[2][0][c[1]] if c[1] < len(c[2][0]) else math.inf
-            live = sorted((c for c in live if c[0] < math.inf), key=lambda c: c[0])
+            live = self._forward(live, to)
         return found
 
+    @staticmethod
+    def _forward(live: list[list], to: int) -> list[list]:
+        """The lists at their first item from ``to`` on, in order of that."""
+        for c in live:
+            if c[0] >= to:
+                break
+            c[1] = bisect_left(c[2][0], to, c[1])
+            c[0] = c[2][0][c[1]] if c[1] < len(c[2][0]) else math.inf
+        return sorted((c for c in live if c[0] < math.inf), key=itemgetter(0))
+
     def leaked(self, text: str | None) -> set[int]:
         """Ids of the items of which ``min_run`` consecutive words stand in the text."""
-        get, n = self.vocab.get, self.min_run
-        ids = [get(w, -1) for w in words(text)]
-        out: set[int] = set()
-        for start in range(0, max(1, len(ids) - n + 1), PASSAGE - n + 1):
-            passage = ids[start : start + PASSAGE]
-            terms = set(passage)
-            terms.discard(-1)
-            if len(terms) == 0:
+        n, out = self.min_run, set()
+        get = self.vocab.get
+        run: list[int] = []
+        for w in (*words(text), ""):
+            t = get(w)
+            if t is not None:
+                run.append(t)
                 continue
-            if found := self.retrieve(terms):
-                grams = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
-                out.update(self.ids[d] for d in found if not grams.isdisjoint(self.windows[d]))
+            if len(run) >= n:
+                for start in range(0, len(run) - n + 1, PASSAGE - n + 1):
+                    out |= self._leaked_in(run[start : start + PASSAGE])
+            run = []
         return out
 
+    def _leaked_in(self, passage: list[int]) -> set[int]:
+        terms, n = set(passage), self.min_run
+        among = sorted({d for t in terms & self.rarest.keys() for d in self.rarest[t]})
+        if not among or not (found := self.retrieve(terms, among)):
+            return set()
+        grams = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+        return {self.ids[d] for d in found if not grams.isdisjoint(self.windows[d])}
+
+
+def joined_leaks(texts: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """The same pairs without an index: distinct windows of ``min_run`` words, by hash, of both sides."""
+
+    def windows(df: DataFrame, id_col: str) -> DataFrame:
+        kind = df.schema[id_col].dataType
+        arrow = to_arrow_type(kind)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, hashes = [], []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    w = words(text)
+                    mine = {xxhash.xxh3_128_digest(" ".join(w[k : k + min_run]).encode("utf-8", "surrogatepass")) for k in range(len(w) - min_run + 1)}
+                    ids += [i] * len(mine)
+                    hashes += mine
+                yield pa.record_batch([pa.array(ids, arrow), pa.array(hashes, pa.binary())], [id_col, "window"])
+
+        return df.mapInArrow(cut, f"{id_col} {kind.simpleString()}, window binary")
+
+    return windows(texts, "doc_id").join(windows(items, "item_id"), "window").select("doc_id", "item_id").distinct()
+
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, item_id): documents and the items that stand in them, whole or in part."""
     spark = documents.sparkSession
     rows = items.select("item_id", "text").dropna().distinct()
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // INDEX_CHARS))
+    texts = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+    if rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > INDEX_CHARS:
+        return joined_leaks(texts, rows, min_run)
     kind = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
     doc_type, item_type = map(to_arrow_type, kind)
-    texts = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
-    out = None
-    for b in range(blocks):
-        mine = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in mine.sort("item_id").collect()], min_run))
-
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            found = index.value
-            for batch in batches:
-                docs, hits = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for item in found.leaked(text):
-                        docs.append(doc)
-                        hits.append(item)
-                yield pa.record_batch([pa.array(docs, doc_type), pa.array(hits, item_type)], ["doc_id", "item_id"])
-
-        part = texts.mapInArrow(search, f"doc_id {kind[0].simpleString()}, item_id {kind[1].simpleString()}")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows.sort("item_id").collect()], min_run))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = index.value
+        for batch in batches:
+            docs, hits = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for item in found.leaked(text):
+                    docs.append(doc)
+                    hits.append(item)
+            yield pa.record_batch([pa.array(docs, doc_type), pa.array(hits, item_type)], ["doc_id", "item_id"])
+
+    return texts.mapInArrow(search, f"doc_id {kind[0].simpleString()}, item_id {kind[1].simpleString()}").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

@@ -6,7 +6,7 @@ its longest-prefix matches in each tree and ascends in all trees at once, one bi
 intervals of all trees together hold ``target`` others; the length reached is the vector's level, and all in its
 intervals (at most ``width`` places to either side in a tree, nearest first) are its candidates.
 
-The sizes of intervals are estimated from the sorted strings of a bounded sample (``SAMPLE`` vectors by hash of id, scaled to
+The sizes of intervals are estimated from the sorted strings of a bounded sample (about ``SAMPLE`` vectors by hash of id, twice as many at most, scaled to
 the number of rows), so the level is known before anything is shuffled. The sample's quantiles also cut each tree
 into segments of about ``ROWS`` rows (by string, then id, so that equal strings are cut as well). A row whose
 interval reaches over a cut, and that lies near it, is sent to the segment beyond as well, so no pair is lost there
@@ -191,12 +191,13 @@ class Forest:
 
 
 def fit_forest(units: DataFrame, trees: int, target: int, width: int) -> dict[int, Forest]:
-    """A forest for each length of vectors, from ``SAMPLE`` vectors of it at most (fewer where many are copies)."""
+    """A forest for each length of vectors, from about ``SAMPLE`` vectors of it (fewer where many are copies)."""
     counts = {r.dim: r.n for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
     for dim, n in sorted(counts.items()):
         mine = units.filter(F.col("dim") == dim).select("id", "same", "unit")
-        rows = mine.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        share = int(min(1.0, SAMPLE / n) * 2**30)
+        rows = sorted(mine.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < share).limit(2 * SAMPLE).collect(), key=lambda r: (r.id, r.same))
         once = {r.same: r for r in reversed(rows)}.values()
         unit = np.frombuffer(b"".join(bytes(r.unit) for r in once), np.float32).reshape(len(once), dim)
         out[dim] = Forest(np.array([r.id for r in once], np.int64), unit, max(len(once), n * len(once) // len(rows)), trees, target, width)

@@ -93,6 +93,7 @@ def test_leaks_equal_brute_force(spark):
     it = spark.createDataFrame([*items, items[0]], "item_id bigint, text string").selectExpr("*", "'s' AS suite", "7 AS doc_id")
     got = leakage.leaked_items(df, it)
     assert len(want) > 15 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(map(tuple, leakage.joined_leaks(df.filter("doc_id IS NOT NULL AND text IS NOT NULL"), it.dropna().distinct()).collect())) == sorted(want)
     assert leakage.leaked_items(df, it.limit(0)).count() == 0 and leakage.leaked_items(df.limit(0), it).count() == 0
     assert {r.item_id: r.documents for r in leakage.leak_report(df, it).collect()}[92] == 1
 
