@@ -223,11 +223,31 @@ def test_chains_are_found_and_undone(spark):
 
 @pytest.mark.parametrize("lang,true,wrong,times", CHAINS)
 def test_undo_is_the_inverse(lang, true, wrong, times):
-    name = f"{true}>{wrong}" + (f"*{times}" if times > 1 else "")
+    name = "+".join([f"{true}>{wrong}"] * times)
     for token in garbled.tokens_of(break_text(TEXTS[lang], true, wrong, times)):
         assert garbled.undo(token, name) in garbled.tokens_of(TEXTS[lang])
 
 
+@pytest.mark.parametrize("steps", [("cp1252", "latin-1"), ("latin-1", "cp437"), ("cp437", "cp437", "cp437")])
+def test_steps_of_different_encodings(steps):
+    text = TEXTS["fr"]
+    for wrong in steps:
+        text = break_text(text, "utf-8", wrong, 1)
+    chain = "+".join(f"utf-8>{w}" for w in reversed(steps))
+    for token, plain in zip(text.split(" "), TEXTS["fr"].split(" ")):
+        if not plain.isascii():
+            assert (chain, plain) in garbled.chains_of(token) and garbled.undo(token, chain) == plain
+
+
+def test_fields_and_sources_are_pooled_apart(spark, monkeypatch):
+    monkeypatch.setattr(garbled, "MAX_SOURCES", 2)
+    df, bad = corpus(spark)
+    df = df.selectExpr("doc_id", "text", "source", "CASE WHEN doc_id >= 9000 THEN 'plain title' ELSE text END AS title")
+    df = df.unionByName(df.filter("doc_id < 100").selectExpr("doc_id + 20000 AS doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'small' END AS source", "title"))
+    got = garbled.garbled_documents(df, ("text", "title")).collect()
+    assert {r.doc_id for r in got if r.field == "text"} == {*bad, 8004} and {r.doc_id for r in got if r.field == "title"} == {8004}
+
+
 def test_neighbours_without_a_bar(spark):
     m = np.random.default_rng(5).standard_normal((600, 32))
     m[1] = m[0]
