@@ -2,8 +2,8 @@
 
 Comments (consecutive lines joined), docstrings and string literals (escapes read, adjacent pieces joined)
 are taken out of each file and split into sentences. A sentence is encoded with one zstandard dictionary
-per language and one for code; the shortest encoding names the language, and the span is rejected unless
-it beats the code dictionary by a margin.
+per language and one for code; the shortest encoding of all names the language, and the span is rejected unless
+it beats the code dictionary and the next language by a margin.
 
 The dictionaries are built from labelled documents: at most ``DOCS_PER_LANGUAGE`` documents a language (of at
 most ``DOC_CHARS`` characters, chosen by a hash of doc_id) and a short text of our own a language. Labels are
@@ -29,7 +29,6 @@ from siftwell.llm.files import map_files, suffix_of
 
 SUFFIXES = ("py", "go", "js", "ts", "java", "rs")
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "pl", "ru", "zh", "ja")
-LATIN = LANGUAGES[:7]
 MIN_WORDS = 5
 MIN_CJK = 8
 DOCS_PER_LANGUAGE = 200
@@ -37,6 +36,8 @@ DOC_CHARS = 20_000
 DICTIONARY_BYTES = 24_000
 #: Bytes by which a language in Latin script must beat the code dictionary.
 MARGIN = 2
+#: Bytes by which it must beat the next language: sentences of languages without a dictionary lie between two.
+RUNNER_UP = 2
 
 SEED = {
     "en": "This is the text that we want to read. It should not be used when there is nothing left to do. The function returns the value if the user has asked for it, and raises an error otherwise. Please make sure that you have closed the file before you call this method. These options are only needed for older versions. We keep a copy of the data because it may be changed by another process. If you do not know what to do here, ask someone who does. Returns the number of items in the list. Waits until all of the tasks have finished their work.",
@@ -229,18 +230,14 @@ class Identifier:
         return len(self.coders[name].compress(raw))
 
     def _language(self, sentence: str) -> str | None:
-        """The language of a running sentence; None where code encodes it as short."""
-        cjk = len(_CJK.findall(sentence))
-        if cjk >= MIN_CJK:
-            names: Iterable[str] = ("ja",) if len(_KANA.findall(sentence)) >= 0.15 * cjk else ("zh", "ja")
-            margin = 0
-        elif len(_CYRILLIC.findall(sentence)) > 0.5 * sum(map(str.isalpha, sentence)):
-            names, margin = ("ru",), 0
-        else:
-            names, margin = LATIN, MARGIN
+        """The language of a running sentence, of all dictionaries that which encodes it shortest; None where code or, in Latin
+        script, another language encodes it about as short."""
+        latin = len(_CJK.findall(sentence)) < MIN_CJK and len(_CYRILLIC.findall(sentence)) <= 0.5 * sum(map(str.isalpha, sentence))
         raw = sentence.lower().encode("utf-8", "replace")
-        best, name = min((self.size(n, raw), LANGUAGES.index(n)) for n in names)
-        return LANGUAGES[name] if best + margin <= self.size("code", raw) else None
+        (best, n), (second, _) = sorted((self.size(n, raw), -i) for i, n in enumerate(LANGUAGES))[:2]
+        if second - best < (RUNNER_UP if latin else 0) or best + (MARGIN if latin else 0) > self.size("code", raw):
+            return None
+        return LANGUAGES[-n]
 
 
 _FENCE = re.compile(r"```[\s\S]*?(?:```|\Z)")

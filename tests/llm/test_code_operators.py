@@ -202,6 +202,12 @@ def test_languages_without_labelled_texts():
         assert not prose.is_running(code) or model.language(code) is None
 
 
+def test_languages_without_a_dictionary_are_rejected():
+    model = prose.train([])
+    for other in ("Deze functie geeft de waarde terug die eerder werd opgeslagen.", "Denne funktion returnerer den værdi, der blev gemt før.", "Tämä funktio palauttaa arvon, joka tallennettiin aiemmin tiedostoon."):
+        assert model.language(other) is None
+
+
 def test_spans_of_languages():
     py = '"""Doc string that runs\nover two lines here."""\n# One sentence goes on\n# in the next line.\nx = "caf\\u00e9 is a very good place"  # note\n'
     got = [s for _, span in prose.spans("py", py) for s in prose.sentences(span)]
