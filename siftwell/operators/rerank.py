@@ -7,11 +7,13 @@ gives 0 to all, which keeps the order. The deadline is looked at between batches
 from __future__ import annotations
 
 import math
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark.errors import PythonException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -23,10 +25,22 @@ DOC_CHARS = 1000
 QUERY_TOKENS = 128
 
 
-class RerankTimeout(TimeoutError):
+class RerankFailure(RuntimeError):
+    """The reranker could not score a batch."""
+
+
+class RerankTimeout(RerankFailure):
     """The deadline passed before all batches were scored."""
 
 
+def is_failure(error: BaseException) -> bool:
+    """Whether a failed query failed in its reranker: the worker's last error is one of the two above."""
+    if isinstance(error, RerankFailure):
+        return True
+    last = [line for line in str(error).split("\n") if re.match(r"\s*(?:\w+\.)*[A-Z]\w*(?:Error|Exception|Failure|Timeout|Interrupt)\b", line)]
+    return isinstance(error, PythonException) and any(re.match(r"\s*(?:\w+\.)*Rerank(?:Failure|Timeout)\b", line) for line in last)
+
+
 class Reranker(Protocol):
     def score(self, query: str, documents: list[str]) -> list[float]: ...
 
@@ -77,7 +91,10 @@ def rerank(reranker: Reranker, query: str, documents: list[str | None], size: in
     for i in range(0, len(documents), size):
         if end and time.monotonic() > end:
             raise RerankTimeout(f"{len(out)} of {len(documents)} documents scored")
-        scores = reranker.score(query, [truncate(d or "") for d in documents[i : i + size]])
+        try:
+            scores = reranker.score(query, [truncate(d or "") for d in documents[i : i + size]])
+        except Exception as e:
+            raise RerankFailure(f"{type(e).__name__}: {e}") from e
         out += [0.0 if s is None or math.isnan(s) else float(s) for s in scores]
     return out
 

@@ -350,6 +350,10 @@ def language_of(spark, d):
 
 @query("""SELECT DISTINCT filepath, CASE lower(regexp_extract(filepath, '(?:^|/)[^/]+\\.([^./]+)$', 1))
     WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'rs' THEN 'rust'
+    WHEN 'tsx' THEN 'tsx' WHEN 'jsx' THEN 'jsx' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'rb' THEN 'ruby' WHEN 'swift' THEN 'swift'
+    WHEN 'kt' THEN 'kotlin' WHEN 'scala' THEN 'scala' WHEN 'php' THEN 'php' WHEN 'bash' THEN 'bash' WHEN 'zsh' THEN 'bash' WHEN 'fish' THEN 'fish' WHEN 'ps1' THEN 'powershell'
+    WHEN 'sql' THEN 'sql' WHEN 'html' THEN 'html' WHEN 'scss' THEN 'scss' WHEN 'sass' THEN 'sass' WHEN 'less' THEN 'less' WHEN 'vue' THEN 'vue' WHEN 'svelte' THEN 'svelte'
+    WHEN 'xml' THEN 'xml' WHEN 'md' THEN 'markdown' WHEN 'rst' THEN 'rst' WHEN 'csv' THEN 'csv' WHEN 'dockerfile' THEN 'dockerfile' WHEN 'makefile' THEN 'makefile'
     WHEN 'json' THEN 'json' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml' WHEN 'toml' THEN 'toml' WHEN 'sh' THEN 'bash' WHEN 'css' THEN 'css' ELSE '' END AS fence FROM chunks""")
 def fence_of(spark, d):
     return table(spark, d, "chunks").select("filepath", text.fence_name_col(F.col("filepath")).alias("fence")).distinct()
@@ -395,7 +399,7 @@ _QWORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0
 
 
 @query(f"""WITH w AS (SELECT item_id, text, {_QWORDS} AS every FROM eval_items),
-    x AS (SELECT *, len(list_filter(every, lambda w: NOT list_contains([{_STOP}], w))) AS n, len(list_filter(every, lambda w: list_contains([{_CODE}], w))) AS kw FROM w)
+    x AS (SELECT *, len(list_filter(every, lambda w: NOT list_contains([{_STOP}], w))) AS n, len(list_filter([{_CODE}], lambda k: contains(lower(text), k))) AS kw FROM w)
     SELECT item_id, CAST(n AS INT) AS content_words, n >= 8 OR regexp_matches(text, '[{{}}();=<>+\\-*/%&|^~!@#]') AS complex,
     length(trim(text)) < 8 OR n < 4 OR (NOT regexp_matches(text, '[{{}}();=<>+*\\-/&|^!@#%]') AND kw = 0 AND n <= 6) AS skip FROM x""")
 def query_analysis(spark, d):

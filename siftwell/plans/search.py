@@ -23,9 +23,14 @@ from siftwell.functions.text import (
 from siftwell.operators import chunking, delta, dense, embed, fusion, paths, rerank, sparse
 from siftwell.operators.store import SnapshotStore, delete
 from siftwell.schemas import CHUNKS
+from siftwell.session import broadcast_if_small
 from siftwell.sources.tree import read_tree
 
 
+#: Paths of one batch of events up to which they are broadcast; more are joined with a shuffle.
+MAX_BROADCAST_PATHS = 100_000
+
+
 @dataclass
 class SyncStatus:
     """State of the last sync."""
@@ -78,7 +83,8 @@ class SearchEngine:
         """Sync of the paths (filepath) that a watch reports; the tree's own rules apply to them, and touched files that are
         no longer indexable count as deleted."""
         named = touched.select("filepath").unionByName(deleted.select("filepath")).distinct()
-        files = read_tree(self.spark, self.root, self.workspace).join(F.broadcast(named), "filepath", "left_semi")
+        small = broadcast_if_small(named, MAX_BROADCAST_PATHS)
+        files = read_tree(self.spark, self.root, self.workspace).join(small, "filepath", "left_semi")
         return self.sync_files(files, keys=named)
 
     def sync_files(self, files: DataFrame, scope=None, keys: DataFrame | None = None) -> SyncStatus:
@@ -137,33 +143,34 @@ class SearchEngine:
         return self.store.table("chunks").filter(F.col("workspace_id") == self.workspace)
 
     # retrieval
-    def _where(self, path: str | None, language: str | None) -> tuple[list[str], object]:
-        resolved: list[str] = []
+    def _scope(self, path: str | None, language: str | None = None) -> DataFrame | None:
+        """(chunk_id) of the chunks that the filters leave, None without a filter; however many files a path means."""
         wanted = paths.normalise_path(path, self.root)
+        if not wanted and not language:
+            return None
+        chunks = self.chunks()
         if wanted:
-            resolved = sorted(r.filepath for r in paths.resolve_paths(self.chunks(), wanted).limit(10_001).collect())
-            if len(resolved) > 10_000:
-                raise ValueError("the path filter means more than 10,000 files; name a narrower folder")
-            resolved = resolved or [wanted]
-        return resolved, paths.metadata_predicate(resolved, language)
+            chunks = chunks.join(paths.resolve_paths(self.chunks(), wanted), "filepath", "left_semi")
+        if language:
+            chunks = chunks.filter(paths.metadata_predicate(language=language))
+        return chunks.select("chunk_id")
 
-    def dense(self, query: str, k: int, where=None) -> DataFrame:
+    def dense(self, query: str, k: int, scope: DataFrame | None = None) -> DataFrame:
         vector = embed.embed_text(self.make_embedder(), query)
-        ids = self.chunks() if where is None else self.chunks().filter(where)
         vectors = self.store.table("vectors").filter(F.col("workspace_id") == self.workspace)
-        if where is not None:
-            vectors = vectors.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+        if scope is not None:
+            vectors = vectors.join(scope, "chunk_id", "left_semi")
         return dense.top_k(vectors, vector or [0.0], k, "chunk_id")
 
-    def sparse(self, query: str, k: int, where=None) -> DataFrame:
+    def sparse(self, query: str, k: int, scope: DataFrame | None = None) -> DataFrame:
         """Ids with scores: BM25 from the index, path and content matches from the chunks."""
         tokens = query_tokens(query)
         chunks = self.chunks().select("chunk_id", "filepath", "language", "content")
         by_words = sparse.bm25_from_postings(self.store.table("postings"), tokens, self.workspace)
-        if where is not None:
-            by_words = by_words.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi")
+        if scope is not None:
+            by_words, chunks = by_words.join(scope, "chunk_id", "left_semi"), chunks.join(scope, "chunk_id", "left_semi")
         by_words = by_words.orderBy("bm25_score", "chunk_id").limit(k).withColumn("__o", F.lit(0))
-        by_path = sparse.lexical_top_k(chunks, path_terms(tokens), k, "chunk_id", "filepath", "content", where)
+        by_path = sparse.lexical_top_k(chunks, path_terms(tokens), k, "chunk_id", "filepath", "content")
         both = by_words.unionByName(by_path.select("chunk_id", "bm25_score", F.lit(1).alias("__o")))
         best = both.groupBy("chunk_id").agg(F.min("bm25_score").alias("bm25_score")).orderBy("bm25_score", "chunk_id").limit(k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy("bm25_score", "chunk_id")))
@@ -175,23 +182,24 @@ class SearchEngine:
         """The plan of ``smart_search``: n rows with texts, scores and ``final_rank``."""
         words, pattern, _ = split_query_and_regex(query, regex)
         k = self.knobs
-        _, where = self._where(filepath, None)
-        fused = fusion.rrf(self.dense(words, k.dense_k, where), self.sparse(words, k.sparse_k, where), k.recall_k, "chunk_id", k.rrf_k)
+        self.rebuild_postings()
+        scope = self._scope(filepath)
+        fused = fusion.rrf(self.dense(words, k.dense_k, scope), self.sparse(words, k.sparse_k, scope), k.recall_k, "chunk_id", k.rrf_k)
         hits = self._with_texts(fused)
         if pattern:
             hits = fusion.regex_filter(hits, pattern, "content", k.regex_case_sensitive)
         head = rerank.head_size(k.recall_k, n, k.rerank_most) if reranked else 0
-        score = rerank.score_column(words, F.col("content"), self.make_reranker) if head else F.lit(None).cast("double")
+        score = rerank.score_column(words, F.col("content"), self.make_reranker, rerank.budget_ms(head)) if head else F.lit(None).cast("double")
         ranked = hits.withColumn("fused_rank", F.row_number().over(Window.orderBy("fused_rank")))
         return fusion.order_reranked(ranked, head, score).orderBy("final_rank").limit(max(1, n))
 
     def semantic(self, query: str, n: int = 5, filepath: str | None = None, language: str | None = None) -> DataFrame:
         """The plan of ``semantic_search``."""
-        _, where = self._where(filepath, language)
         k = self.knobs.candidates(n)
-        hits = self._with_texts(self.dense(query, k, where).withColumnRenamed("rank", "fused_rank"))
+        hits = self._with_texts(self.dense(query, k, self._scope(filepath, language)).withColumnRenamed("rank", "fused_rank"))
         use = not skip_rerank(query)
-        score = rerank.score_column(query, F.col("content"), self.make_reranker) if use else F.lit(None).cast("double")
+        enough = F.max("fused_rank").over(Window.partitionBy()) > min(3, k)  # see worth_reranking; at most k rows
+        score = F.when(enough, rerank.score_column(query, F.col("content"), self.make_reranker, rerank.budget_ms(k))) if use else F.lit(None).cast("double")
         return fusion.order_reranked(hits, k if use else 0, score).orderBy("final_rank").limit(max(1, n))
 
     # tools that answer in text
@@ -217,7 +225,7 @@ class SearchEngine:
         try:
             rows = self.hybrid(query, n, filepath, regex).collect()
         except Exception as e:  # a failing reranker must not lose the results
-            if "rerank" not in str(e).lower():
+            if not rerank.is_failure(e):
                 raise
             rows, note = self.hybrid(query, n, filepath, regex, reranked=False).collect(), "reranker failed, fused order"
         header = [
