@@ -64,7 +64,8 @@ _BANNER = re.compile(
 )
 _GENERATED_NOTE = re.compile(r"^\s*@(?:\w+\.)*Generated\s*\(", re.M)
 _GO_SUM = re.compile(r"(?:\S+ v\S+ h1:[A-Za-z0-9+/]{43}=\s*){2,}")
-_CSV_ROW = re.compile(r"[^,;\t\n]*(?:[,;\t][^,;\t\n]*){2,}")
+#: The rest of each line from its first sign of code on.
+_SIGNED = re.compile(r"[(){}=<>\[\]][^\n]*")
 
 
 def leading_comments(text: str) -> str:
@@ -84,58 +85,64 @@ def is_lock(path: str, text: str) -> bool:
     return name.endswith((".lock", ".lockfile")) and ("checksum" in text or "integrity" in text or "hash" in text or "[[package" in text)
 
 
-_LEXEMES = re.compile(r"[^\W\d]\w*|\d[\w.]*|\x00|\n|[^\s\w]")
+#: What layout depends on; the text between two of these moves as one.
+_BREAKS = re.compile(r"([{}();\[\]\n])")
 #: Marks after which a formatter leaves a blank or ends the line.
 _GAPS = re.compile(r"(?:[,;{](?![)\]};,\x00]*(?:\s*\Z))|\}(?![)\]};,.(]))(\s?)")
 
 
 def emit(suffix: str, code: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
-    """(depth, text) of the lines of the canonical layout, and (depth, indentation, text) of the lines as they were; texts are lexemes with
-    one blank between them. ``code`` has no comments, and its strings are ``\\x00``."""
+    """(depth, text) of the lines of the canonical layout, and (depth, indentation, text) of the lines as they were; in texts one blank
+    stands for several and none stands around brackets. ``code`` has no comments, and its strings are ``\\x00``."""
     python = suffix == "py"
     lines: list[tuple[int, str]] = []
     was: list[tuple[int, int, str]] = []
     line: list[str] = []
     row: list[str] = []
-    depth = rounds = begin = start = indent = 0
+    depth = rounds = start = indent = pending = 0
 
     def end() -> None:
         if line:
-            lines.append((depth, " ".join(line)))
+            lines.append((depth, "".join(line)))
             line.clear()
 
-    for m in _LEXEMES.finditer(code + "\n"):
-        x = m.group()
+    for x in _BREAKS.split(code + "\n"):
         if x == "\n":
             if row:
-                was.append((start, indent, " ".join(row)))
+                was.append((start, indent, "".join(row)))
                 row = []
-            begin = m.end()
-            if python and not rounds or not python and not rounds and line and line[-1] not in ",=+-*/&|<>?:.(":
+            pending = 0
+            if not rounds and (python or line and line[-1][-1] not in ",=+-*/&|<>?:."):
                 end()
             continue
+        text = x.strip(" \t\r\f\v")
         if not row:
-            start, indent = depth - (x == "}") if not python else 0, m.start() - begin
-        row.append(x)
-        if x in "([" or python and x == "{":
+            pending += len(x) - len(x.lstrip(" \t"))
+            if text:
+                start, indent = 0 if python else depth - (text == "}"), pending
+        if not text:
+            continue
+        if len(text) > 1 and (" " in text or "\t" in text):
+            text = " ".join(text.split())
+        row.append(text)
+        if text in "([" or python and text == "{":
             rounds += 1
-        elif x in ")]" or python and x == "}":
+        elif text in ")]" or python and text == "}":
             rounds = max(0, rounds - 1)
-        if not python and x == "}":
+        elif not python and text == "}":
             end()
             depth = max(0, depth - 1)
-            line.append(x)
-            end()
+            lines.append((depth, text))
             continue
-        if python and x == ";" and not rounds:
+        elif text == ";" and not rounds:
+            if not python:
+                line.append(text)
             end()
             continue
-        line.append(x)
-        if not python and x == "{":
+        line.append(text)
+        if not python and text == "{":
             end()
             depth += 1
-        elif not python and x == ";" and not rounds:
-            end()
     end()
     return lines, was
 
@@ -157,17 +164,17 @@ def layout(suffix: str, text: str) -> dict[str, float]:
     names = _NAMES.findall(code)
     running = len(_RUNNING.findall(code))
     literal += sum(map(len, _NUMBERS.findall(code)))
-    emitted, was = emit(suffix, code)
+    emitted, was = emit(suffix, _NUMBERS.sub("0", _NAMES.sub("w", code)))  # names and numbers of any length are laid out alike
     gaps = _GAPS.findall(code)
-    shaped = [(d, i, _NUMBERS.sub("0", _NAMES.sub("w", x))) for d, i, x in was]
-    shapes = Counter(x for _, _, x in shaped)
-    usual: dict[tuple, Counter] = {}
-    for d, i, x in shaped:  # Python's depth is its indentation, so there each shape must keep to its own
-        usual.setdefault((d, x) if suffix == "py" else (d,), Counter())[i] += 1
+    shapes = Counter(x for _, _, x in was)
+    # Python's depth is its indentation, so there each shape must keep to its own
+    usual: dict = {}
+    for (key, _), n in Counter(((x if suffix == "py" else d), i) for d, i, x in was).items():
+        usual[key] = max(n, usual.get(key, 0))
     return {
         "lines": len(was),
         "emitted": len(emitted),
-        "regular": sum(max(c.values()) for c in usual.values()) / max(1, len(was)),
+        "regular": sum(usual.values()) / max(1, len(was)),
         "tight": sum(not g for g in gaps) / max(1, len(gaps)) if gaps else 0.0,
         "literal": literal,
         "word_chars": sum(map(len, names)),
@@ -210,11 +217,10 @@ def is_data(suffix: str, f: dict[str, float], text: str) -> bool:
     if f["literal"] > 100 and f["literal"] >= 0.85 * (f["literal"] + f["word_chars"]) and _only_names(suffix, text):
         return True
     rows = [x for x in text.splitlines() if x.strip()]
-    if len(rows) >= 4:
+    if len(rows) >= 4 and len(_SIGNED.findall(text)) <= 0.05 * len(rows):
         width = Counter(next((r.count(d) for d in ",;\t" if r.count(d) >= 2), 0) for r in rows)
         cells, n = width.most_common(1)[0]
-        plain = sum(1 for r in rows if not re.search(r"[(){}=<>\[\]]", r))
-        return cells >= 2 and n >= 0.95 * len(rows) and plain >= 0.95 * len(rows)
+        return cells >= 2 and n >= 0.95 * len(rows)
     return False
 
 

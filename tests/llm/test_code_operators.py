@@ -175,10 +175,10 @@ def test_layout_at_any_length(path, text, marks):
 
 def test_emitted_layout():
     lines, was = provenance.emit("js", "function f(a){if(a){return g(a,1);}for(var i=0;i<3;i++){h(i)}}")
-    assert [x for _, x in lines] == ["function f ( a ) {", "if ( a ) {", "return g ( a , 1 ) ;", "}", "for ( var i = 0 ; i < 3 ; i + + ) {", "h ( i )", "}", "}"]
+    assert [x for _, x in lines] == ["function f(a){", "if(a){", "return g(a,1);", "}", "for(var i=0;i<3;i++){", "h(i)", "}", "}"]
     assert [d for d, _ in lines] == [0, 1, 2, 1, 1, 2, 1, 0] and len(was) == 1
     lines, was = provenance.emit("py", "x = f(\n    1,\n)\nif x: y = 2; z = 3\n")
-    assert [x for _, x in lines] == ["x = f ( 1 , )", "if x : y = 2", "z = 3"] and len(was) == 4
+    assert [x for _, x in lines] == ["x = f(1,)", "if x: y = 2", "z = 3"] and len(was) == 4
 
 
 def test_parse_frames(spark):
