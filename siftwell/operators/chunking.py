@@ -17,6 +17,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -167,22 +168,25 @@ def _go_spans(text: str, lines: list[str]) -> list[tuple] | None:
 _COLUMNS = [f.name for f in CHUNKS]
 
 
-def _rows(workspace: str | None, path: str, raw: bytes | str | None) -> Iterator[tuple]:
+def _rows(workspace: str | None, path: str, raw: bytes | str | None, failed: Accumulator | None = None) -> Iterator[tuple]:
     try:
         chunks = chunk_file(path, decode(raw))
-    except Exception:  # a file that breaks the chunker has no chunks
+    except Exception:  # a file that breaks the chunker has no chunks, but is counted
+        if failed is not None:
+            failed.add(1)
         return
     language = suffix_of(path)
     for key, body, kind, first, last, name, parent in chunks:
         yield workspace, key, path, body, kind, first, last, language, estimate_tokens(body), name, parent
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """Chunks of (workspace_id, filepath, content); content is bytes or text."""
+def chunk_files(files: DataFrame, failed: Accumulator | None = None) -> DataFrame:
+    """Chunks of (workspace_id, filepath, content); content is bytes or text. ``failed`` counts the files that break the chunker, once
+    for each time that they are read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for w, p, c in zip(batch.workspace_id, batch.filepath, batch.content) if p is not None for r in _rows(w, p, c)]
+            rows = [r for w, p, c in zip(batch.workspace_id, batch.filepath, batch.content) if p is not None for r in _rows(w, p, c, failed)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return spread(files.select("workspace_id", "filepath", "content")).mapInPandas(run, CHUNKS)

@@ -66,6 +66,10 @@ def with_retries(work: Callable[[], None], retries: int = RETRIES, delay: float
             time.sleep(max(0.05, delay) * 2**n * (1 + random.random() / 10))
 
 
+#: Seconds after which a lock that no writer has touched counts as left behind; a table must be written within them.
+LOCK_EXPIRES_S = 6 * 3600
+
+
 class SnapshotStore:
     """Versioned tables below a folder that the driver and all executors see."""
 
@@ -93,8 +97,13 @@ class SnapshotStore:
 
     @contextmanager
     def _lock(self):
-        """One writer at a time."""
+        """One writer at a time. A lock whose writer has not touched it for ``LOCK_EXPIRES_S`` is one of a crash and is removed."""
         lock = os.path.join(self.path, "LOCK")
+        try:
+            if time.time() - os.stat(lock).st_mtime > LOCK_EXPIRES_S:
+                os.unlink(lock)
+        except FileNotFoundError:
+            pass
         try:
             handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         except FileExistsError as e:
@@ -113,6 +122,7 @@ class SnapshotStore:
             for name, schema in TABLES.items():
                 df = tables[name] if name in tables else self.table(name)
                 df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+                os.utime(os.path.join(self.path, "LOCK"))
                 with_retries(lambda df=df, name=name: df.write.mode("overwrite").parquet(os.path.join(folder, name)))
             temporary = self._pointer + ".next"
             with open(temporary, "w") as f:

@@ -40,6 +40,7 @@ class SyncStatus:
     chunks_added: int = 0
     unchanged: int = 0
     changed_or_deleted: int = 0
+    failed: int = 0
     started: float = 0.0
     finished: float | None = None
     error: str | None = None
@@ -112,8 +113,9 @@ class SearchEngine:
                 kept = delete(self.store.table("chunks"), gone, key)
                 live = changes.filter(F.col("status").isin("new", "modified")).select(*key, "current_hash")
                 p.status = "processing"
-                new = chunking.chunk_files(files.join(live, key, "left_semi")).persist()
-                p.chunks_added = new.count()
+                failed = self.spark.sparkContext.accumulator(0)
+                new = chunking.chunk_files(files.join(live, key, "left_semi"), failed).persist()
+                p.chunks_added, p.failed = new.count(), failed.value
                 lost = delete(self.store.table("chunks"), kept, ["workspace_id", "chunk_id"]).select("workspace_id", "chunk_id")
                 pair = ["workspace_id", "chunk_id"]
                 hashes = live.join(new.select(*key).distinct(), key, "left_semi").withColumnRenamed("current_hash", "file_hash")

@@ -8,6 +8,7 @@ executors see. A file that can't be read is left out, as binary files are.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -92,14 +93,35 @@ class _TreeReader(DataSourceReader):
 class _ChangeStream(DataSourceStreamReader):
     """Changes between two listings of a tree, as events; the offset is the time of the listing.
 
-    A listing is kept per offset in the driver, so that a batch can be read again; after a restart the first batch
-    reports every file as modified, which a sync by content hash turns into no work."""
+    A listing is kept per offset, so that a batch can be read again. With the option ``state``, a folder that outlives the driver
+    (beside the query's checkpoint, say), listings are kept there: after a restart the first batch reports what was created,
+    modified and deleted in between. Without it they are kept in memory, and the first batch after a restart reports every
+    file as modified, but no deletion."""
 
     def __init__(self, options: dict):
+        self.state = options.get("state")
         self.root = str(check_root(options["root"], options.get("allow_unsafe", "false") == "true"))
         self.workspace = workspace_id(self.root, options.get("workspace_id"))
         self.seen: dict[int, dict[str, tuple]] = {}
         self.n = 0
+        if self.state:
+            os.makedirs(self.state, exist_ok=True)
+            for name in os.listdir(self.state):
+                if (number := name.removesuffix(".json")).isdigit():
+                    with open(os.path.join(self.state, name)) as f:
+                        self.seen[int(number)] = {k: tuple(v) for k, v in json.load(f).items()}
+            self.n = max(self.seen, default=0)
+
+    def _keep(self, n: int, listing: dict[str, tuple]) -> None:
+        """The listing is on disk before its offset is given out."""
+        self.seen[n] = listing
+        if self.state:
+            name = os.path.join(self.state, f"{n}.json")
+            with open(name + ".next", "w") as f:
+                json.dump(listing, f)
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(name + ".next", name)
 
     def _listing(self) -> dict[str, tuple]:
         out = {}
@@ -112,14 +134,15 @@ class _ChangeStream(DataSourceStreamReader):
         return out
 
     def initialOffset(self) -> dict:
-        self.seen[0] = self._listing()
-        return {"n": 0}
+        if self.n not in self.seen:
+            self._keep(self.n, self._listing())
+        return {"n": self.n}
 
     def latestOffset(self) -> dict:
         now = self._listing()
         if self.seen.get(self.n) != now:
             self.n += 1
-            self.seen[self.n] = now
+            self._keep(self.n, now)
         return {"n": self.n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -135,6 +158,8 @@ class _ChangeStream(DataSourceStreamReader):
     def commit(self, end: dict) -> None:
         for n in [n for n in self.seen if n < end["n"]]:
             del self.seen[n]
+            if self.state and os.path.exists(name := os.path.join(self.state, f"{n}.json")):
+                os.unlink(name)
 
 
 class SourceTree(DataSource):

@@ -1,6 +1,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.sources.tree import register
@@ -87,3 +88,36 @@ def test_tree_changes(spark, tmp_path):
     finally:
         q.stop()
     assert {"a.py"} in [d for d, _ in seen] and any("b.py" in t for _, t in seen)
+
+
+def test_listings_outlive_the_stream(tmp_path):
+    from siftwell.sources.tree import _ChangeStream
+
+    root, state = tmp_path / "tree", tmp_path / "state"
+    root.mkdir()
+    (root / "a.py").write_text("a = 1\n")
+    (root / "b.py").write_text("b = 1\n")
+    first = _ChangeStream({"root": str(root), "state": str(state), "allow_unsafe": "true"})
+    start = first.initialOffset()
+    (root / "a.py").unlink()
+    (root / "c.py").write_text("c = 1\n")
+    again = _ChangeStream({"root": str(root), "state": str(state), "allow_unsafe": "true"})
+    end = again.latestOffset()
+    events = {(r[1], r[2]) for part in again.partitions(start, end) for r in again.read(part)}
+    assert events == {("a.py", "deleted"), ("c.py", "created")} and again.latestOffset() == end
+    again.commit(end)
+    assert sorted(p.name for p in state.iterdir()) == [f"{end['n']}.json"]
+
+
+def test_lock_of_a_crash_expires(spark, tmp_path, monkeypatch):
+    from siftwell.operators import store
+
+    s = store.SnapshotStore(spark, str(tmp_path / "s"))
+    s.commit()
+    lock = tmp_path / "s" / "LOCK"
+    lock.write_text("")
+    with pytest.raises(RuntimeError):
+        s.commit()
+    monkeypatch.setattr(store, "LOCK_EXPIRES_S", -1)
+    s.commit()
+    assert not lock.exists()
