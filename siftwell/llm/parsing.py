@@ -1,7 +1,7 @@
 """Source files that do not parse (problem 5).
 
 Each file with a suffix of a known language is recognised by an error-correcting chart parser for that
-language; its cost is the number of token edits (insert, delete, replace) of the cheapest repair found,
+language; its cost is the least number of token edits (insert, delete, replace) that repair it,
 and a file with cost 0 is valid. The places of the edits tell truncation, merge conflicts and files of
 another language from local damage. Texts without error are recognised at cost 0 by the chart's memoised columns. Behind
 the chart, Python's own parser checks py files exactly; the chart alone decides the other languages.

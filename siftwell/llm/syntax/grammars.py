@@ -386,6 +386,12 @@ PY_CLASSES = {
 class ScriptColumn(Column):
     __slots__ = ()
 
+    def _taken(self) -> dict[str, set[str]]:
+        out, closed = super()._taken(), self["ASI"]
+        if "}" not in out and "}" in (more := Column._taken(closed)):  # a brace that is made stands for a semicolon, too
+            out["}"] = more["}"]
+        return out
+
     def goes_on(self, kind: str, follow: set[str], after: str) -> bool:
         bare = after.lstrip("\n")
         return bare in follow or "ASI" in follow and (bare == "}" or after != bare)

@@ -18,6 +18,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from siftwell.llm.syntax.spans import Spans
+
 END = "<end>"
 #: Interned columns after which the tables of a grammar are dropped and grown anew.
 MAX_COLUMNS = 5_000
@@ -52,6 +54,7 @@ class Grammar:
         self._least_costs()
         self._alike()
         self.start = start
+        self.spans: Spans | None = None  # made when a text needs it
         self.clear()
 
     # the grammar's own notation
@@ -283,20 +286,23 @@ class Column(dict):
     def follow(self) -> dict[str, set[str]]:
         """Kind that some item takes next (one of those alike) -> kinds taken after it."""
         if self._follow is None:
-            terms, makes, out = self.grammar.net.terms, self.grammar.makes, {}
-            for place, parent, barred in self.items:
-                for kinds, to in terms[place]:
-                    takes = None
-                    for k in kinds & makes:
-                        if not barred or k not in barred:
-                            takes = takes or self.grammar._from(to, parent)[2]
-                            if k in out:
-                                out[k] |= takes
-                            else:
-                                out[k] = set(takes)
-            self._follow = {k: out[k] for k in sorted(out)}
+            self._follow = self._taken()
         return self._follow
 
+    def _taken(self) -> dict[str, set[str]]:
+        terms, makes, out = self.grammar.net.terms, self.grammar.makes, {}
+        for place, parent, barred in self.items:
+            for kinds, to in terms[place]:
+                takes = None
+                for k in kinds & makes:
+                    if not barred or k not in barred:
+                        takes = takes or self.grammar._from(to, parent)[2]
+                        if k in out:
+                            out[k] |= takes
+                        else:
+                            out[k] = set(takes)
+        return {k: out[k] for k in sorted(out)}
+
     def goes_on(self, kind: str, follow: set[str], after: str) -> bool:
         """Whether ``after`` can come after ``kind``, as far as ``follow`` tells; no is certain."""
         return after in follow
@@ -329,19 +335,46 @@ def repair(grammar: Grammar, kinds: list[str], window: int = 6, ahead: int = 6,
 
     First each error is repaired by the cheapest edits within ``window`` tokens before it after which the parse goes on for
     ``ahead`` tokens or to the end (of the places after a first edit, the ``beam`` that come furthest get a second, half as many
-    after each error where none does and the token is deleted), however many errors there are. Then every way to edit the text anywhere at a lower total cost is tried, cost by cost; one
-    that is found is the minimum. Cost 1 is always tried wholly; ``least`` is false where the ``budget`` of places (a place
-    being a token with a column before it) ended the search at a higher cost, and then the cost is an upper bound."""
+    after each error where none does and the token is deleted), however many errors there are. That bounds the cost. Then every way
+    to edit the text anywhere at a lower total cost is tried, cost by cost; one that is found is the minimum. Cost 1 is always tried
+    wholly. Where the ``budget`` of places (a place being a token with a column before it) ends the search at a higher cost, the
+    minimum comes from the costs of all spans instead (``spans``), at any cost. ``least`` is false only where that cannot tell: for
+    scripts, if the edited text needs a semicolon that only a newline stands for where another way takes the next token, and the
+    bounds differ; then the cost is an upper bound."""
     grammar.bound()
     cost, edits = _error_by_error(grammar, kinds, window, ahead, beam)
     strange = sum(k.lstrip("\n") not in grammar.literals for k in kinds)  # each of them takes an edit
     for most in range(max(1, strange), cost):
         found, complete = cheapest(grammar, kinds, most, budget if most > 1 else None)
-        if found is not None or not complete:
-            return (cost, edits, False) if found is None else (len(found), found, True)
+        if found is not None:
+            return len(found), found, True
+        if not complete:
+            if grammar.spans is None:
+                grammar.spans = Spans(grammar)
+            found = grammar.spans.repair(kinds)
+            if len(found) < cost and takes(grammar, kinds, found):
+                return len(found), found, True
+            return cost, edits, len(found) >= cost
     return cost, edits, True
 
 
+def takes(grammar: Grammar, kinds: list[str], edits: list[tuple[int, str, str]]) -> bool:
+    """Whether the edited text is recognised; the edits are in the order of their places, insertions first."""
+    at: dict[int, list] = {}
+    for i, what, t in edits:
+        at.setdefault(i, []).append((what, t))
+    columns = {grammar.first}
+    for i, kind in enumerate([*kinds, END]):
+        kept = True
+        for what, t in at.get(i, ()):
+            if what != "delete":
+                columns = {b[t] for c in columns for b in grammar.variants(c, kind)} - {grammar.dead}
+            kept = kept and what == "insert"
+        if kept:
+            columns = {c[kind] for c in columns} - {grammar.dead}
+    return bool(columns)
+
+
 def _completed(column: Column) -> int:
     """The least number of tokens inserted at the end of a text that has ``column`` there."""
     return 0 if column[END] is not column.grammar.dead else max(1, column.least_end())

@@ -4,9 +4,10 @@ import random
 
 import pytest
 
-from siftwell.llm.syntax.grammars import accepts, diagnose, grammar, recognised
+from siftwell.llm.syntax.grammars import LEX, accepts, diagnose, grammar, recognised
 from siftwell.llm.syntax.lexers import lex_json
-from siftwell.llm.syntax.machine import END, repair, walk
+from siftwell.llm.syntax.machine import END, cheapest, repair, takes, walk
+from siftwell.llm.syntax.spans import Spans
 
 VALID = {
     "go": [
@@ -124,3 +125,39 @@ def test_every_fault_of_a_long_file_is_priced():
     cost, damage, lines, _ = diagnose("go", text)
     assert (cost, damage) == (20, "local")
     assert lines == [i + 1 for i, x in enumerate(text.split("\n")) if x.startswith("fucn")]
+
+
+@pytest.mark.parametrize("language", VALID)
+def test_costs_from_spans_are_the_least_of_all_edits(language):
+    rng, g = random.Random(7), grammar(language, "repair")
+    spans, tokens, compared = Spans(g), [LEX[language](t)[0] for t in VALID[language] + BROKEN[language]], 0
+    for _ in range(12):
+        whole = rng.choice([k for k in tokens if k])
+        k = whole[(at := rng.randrange(len(whole))) : at + rng.randint(1, 8)]
+        k[rng.randrange(len(k))] = rng.choice(sorted(g.literals - g.free))
+        g.bound()
+        edits, complete = cheapest(g, k, 2, 20_000)
+        found = spans.repair(k)
+        if complete and takes(g, k, found):
+            compared += 1
+            assert len(found) == len(edits) if edits is not None else len(found) > 2, (k, found, edits)
+    assert compared > 4
+
+
+@pytest.mark.parametrize("language,text,most", [("py", VALID["js"][1] + VALID["rs"][0], 160), ("js", VALID["py"][0] * 2, 40), ("go", "import os\nclass A:\n    def f(self):\n        pass\n" * 5, 60)])
+def test_texts_of_another_language_cost_the_least(language, text, most):
+    kinds = LEX[language](text)[0]
+    cost, edits, least = repair(grammar(language, "repair"), kinds)
+    assert least and 5 < cost == len(edits) <= most and takes(grammar(language, "repair"), kinds, edits)
+    assert repair(grammar(language, "repair"), kinds, budget=1)[0] == cost and diagnose(language, text)[::3] == (cost, True)
+
+
+def test_a_made_brace_ends_a_statement():
+    assert repair(grammar("js", "repair"), ["{", "STR", "*="])[0] == 1
+
+
+def test_large_tables_are_files(monkeypatch):
+    kinds = LEX["go"]("package a\nfunc f( {\n}}\n")[0]
+    want = Spans(grammar("go", "repair")).repair(kinds)
+    monkeypatch.setattr("siftwell.llm.syntax.spans.HELD", 0)
+    assert Spans(grammar("go", "repair")).repair(kinds) == want and want
