@@ -14,19 +14,25 @@ Passages between single backquotes are examples and are neither judged nor repai
 
 Defined results: null, empty and pure ASCII texts are clean; rows with a null doc_id take no part; a
 doc_id with several texts is judged by each row; sources are compared trimmed and in lower case, null as
-blank, and the sources and fields beyond the ``MAX_SOURCES`` largest share one prior of their own.
+blank.
 """
 
 from __future__ import annotations
 
+import atexit
 import codecs
 import math
+import os
 import re
+import shutil
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,8 +57,7 @@ SMOOTHING = 2.0
 #: Rounds at most, and the change of every prior at which they end.
 ROUNDS = 12
 STILL = 1e-3
-#: Key of the sources and fields beyond the largest.
-OTHERS = "\0others"
+#: Sources and fields whose priors are held by every task; where there are more, priors are joined.
 MAX_SOURCES = 1000
 #: Chains with less evidence than this (in nats) are not carried.
 LEAST = 0.5
@@ -87,16 +92,38 @@ def pairs_of(token: str) -> Iterator[tuple[str, str]]:
     return zip(s, s[1:])
 
 
+class PairFile:
+    """Counts of pairs in a file that tasks map: all keys in order, then their counts."""
+
+    def __init__(self, name: str, size: int):
+        self.name, self.size = name, size
+
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        both = np.memmap(SparkFiles.get(self.name), np.int64, "r", shape=(2, self.size))
+        return both[0], both[1]
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "size": self.size}
+
+    def get(self, pair: tuple[str, str], default: int = 0) -> int:
+        keys, counts = self._tables
+        key = np.int64(ord(pair[0]) << 21 | ord(pair[1]))
+        i = int(keys.searchsorted(key))
+        return int(counts[i]) if i < self.size and keys[i] == key else default
+
+
 class PairModel:
-    """Interpolated character-pair model."""
+    """Interpolated character-pair model. ``left`` and ``right``: how often a symbol begins and ends a pair."""
 
-    def __init__(self, pairs: dict[tuple[str, str], int]):
+    def __init__(self, pairs: dict[tuple[str, str], int] | PairFile, left: Counter[str] | None = None, right: Counter[str] | None = None):
         self.pairs = pairs
-        self.left: Counter[str] = Counter()
-        self.right: Counter[str] = Counter()
-        for (a, b), n in pairs.items():
-            self.left[a] += n
-            self.right[b] += n
+        self.left: Counter[str] = left or Counter()
+        self.right: Counter[str] = right or Counter()
+        if left is None:
+            for (a, b), n in pairs.items():
+                self.left[a] += n
+                self.right[b] += n
         self.total = sum(self.right.values())
         self.cache: dict[tuple[str, str], float] = {}
         self.symbols: dict[str, str] = {}
@@ -110,6 +137,8 @@ class PairModel:
                 b = symbols[c] = symbol(c)
             x = cache.get((a, b))
             if x is None:
+                if len(cache) > MAX_PAIRS:
+                    cache.clear()
                 base = (self.right[b] + 0.2) / (self.total + 20_000)
                 x = cache[a, b] = -math.log((self.pairs.get((a, b), 0) + 8 * base) / (self.left[a] + 8))
             out += x
@@ -277,13 +306,49 @@ def _pair_batch(seen: Counter) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(seen.values()), pa.int64())], ["a", "b", "n"])
 
 
-#: Pairs that the model keeps; beyond, the rarest go (they say little).
+#: Pairs that every task holds; where there are more, the model is a file that tasks map.
 MAX_PAIRS = 400_000
 
 
 def _model(documents: DataFrame) -> PairModel:
-    rows = count_pairs(documents).orderBy(F.desc("n"), "a", "b").limit(MAX_PAIRS).collect()
-    return PairModel({(r.a, r.b): r.n for r in rows})
+    """The model of all pairs of the documents."""
+    pairs = count_pairs(documents)
+    rows = pairs.limit(MAX_PAIRS + 1).collect()
+    return PairModel({(r.a, r.b): r.n for r in rows}) if len(rows) <= MAX_PAIRS else _filed(pairs)
+
+
+def _filed(pairs: DataFrame) -> PairModel:
+    """The model in a file, written as the sorted pairs arrive, one partition at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = (c.to_pylist() for c in batch.columns)
+            keys = np.array([ord(x) << 21 | ord(y) for x, y in zip(a, b)], np.int64)
+            yield pa.record_batch([pa.array([keys.tobytes()]), pa.array([np.array(n, np.int64).tobytes()])], ["keys", "counts"])
+
+    left: Counter[str] = Counter()
+    right: Counter[str] = Counter()
+    size = 0
+    folder = tempfile.mkdtemp(prefix="pairs-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it when they first need it
+    name = os.path.basename(folder)
+    path = os.path.join(folder, name)
+    with open(path, "wb") as out, tempfile.TemporaryFile(dir=folder) as behind:
+        # strings are ordered by code point, as keys are
+        for r in pairs.orderBy("a", "b").mapInArrow(pack, "keys binary, counts binary").toLocalIterator():
+            keys, counts = np.frombuffer(r.keys, np.int64), np.frombuffer(r.counts, np.int64)
+            for side, symbols in ((left, keys >> 21), (right, keys & (1 << 21) - 1)):
+                found, at = np.unique(symbols, return_inverse=True)
+                sums = np.zeros(len(found), np.int64)
+                np.add.at(sums, at, counts)
+                side.update(dict(zip(map(chr, found.tolist()), sums.tolist())))
+            out.write(r.keys)
+            behind.write(r.counts)
+            size += len(keys)
+        behind.seek(0)
+        shutil.copyfileobj(behind, out)
+    pairs.sparkSession.sparkContext.addFile(path)
+    return PairModel(PairFile(name, size), left, right)
 
 
 def _field(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -334,25 +399,12 @@ def judged(documents: DataFrame, fields: tuple[str, ...] = ("text",), judge=None
         .checkpoint()
     )
     whole = max(1, docs.count())
-    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()}
-    weighed = weighed.withColumn("source", F.when(F.col("source").isin(*sizes), F.col("source")).otherwise(OTHERS)) if sizes else weighed
-    sizes[OTHERS] = whole - sum(sizes.values())
-    priors: dict[tuple[str, str], float] = {}
-    for _ in range(ROUNDS):
-        scored = _scored(spark, weighed, priors)
-        sums = scored.groupBy("source", "chain").agg(F.sum("posterior").alias("p")).collect()
-        overall: Counter[str] = Counter()
-        for r in sums:
-            overall[r.chain] += r.p
-        everywhere = {c: (x + SMOOTHING * PRIOR) / (whole + SMOOTHING) for c, x in overall.items()}
-        before, priors = priors, {
-            (r.source, r.chain): (r.p + SMOOTHING * max(PRIOR, everywhere[r.chain])) / (sizes[r.source] + SMOOTHING) for r in sums
-        } | {("*", c): max(PRIOR, x) for c, x in everywhere.items()}
-        if all(abs(p - before.get(k, PRIOR)) < STILL for k, p in priors.items()):
-            break
+    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.source: r.n for r in counts.limit(MAX_SOURCES + 1).collect()}
+    priors = _held_priors(spark, weighed, sizes, whole) if len(sizes) <= MAX_SOURCES else _joined_priors(weighed, counts.checkpoint(), whole)
     best = F.max_by(F.struct("chain", "posterior"), F.struct("posterior", "chain"))
     return (
-        _scored(spark, weighed, priors)
+        _scored(weighed, *priors)
         .groupBy("doc_id", "field", "row", "source")
         .agg(best.alias("b"), F.greatest(F.lit(0.0), 1 - F.sum("posterior")).alias("clean"))
         .select("doc_id", "field", F.split_part("source", F.lit("\1"), F.lit(1)).alias("source"), "row", "b.chain", "b.posterior", "clean")
@@ -368,19 +420,68 @@ def _shares(odds: Column) -> Column:
     )
 
 
-def _scored(spark, weighed: DataFrame, priors: dict) -> DataFrame:
-    """Posterior of each chain of each document; priors are at most sources times chains, both bounded."""
-    own = {s: {c: p for (t, c), p in priors.items() if t == s} for s in sorted({s for s, _ in priors} - {"*"})}
-    everywhere = {c: p for (t, c), p in priors.items() if t == "*"}
-    rows = spark.createDataFrame(sorted(own.items()), "source string, prior map<string,double>")
+def _scored(weighed: DataFrame, own: DataFrame, everywhere: dict[str, float]) -> DataFrame:
+    """Posterior of each chain of each document by ``own`` (source, prior), else by the priors of all documents."""
     fallback = F.create_map(*(F.lit(x) for cp in sorted(everywhere.items()) for x in cp)).cast("map<string,double>")
-    own = weighed.join(F.broadcast(rows), "source", "left")
     odds = F.transform(
         F.arrays_zip("chains", "nats"),
         lambda z: F.exp(F.least(z["nats"], F.lit(300.0)))
         * F.coalesce(F.try_element_at("prior", z["chains"]), F.try_element_at(fallback, z["chains"]), F.lit(PRIOR)),
     )
-    return own.withColumn("odds", odds).select("doc_id", "field", "row", "source", F.inline(_shares(F.col("odds"))))
+    return weighed.join(own, "source", "left").withColumn("odds", odds).select("doc_id", "field", "row", "source", F.inline(_shares(F.col("odds"))))
+
+
+def _everywhere(overall: dict[str, float], whole: int) -> dict[str, float]:
+    return {c: (x + SMOOTHING * PRIOR) / (whole + SMOOTHING) for c, x in overall.items()}
+
+
+def _held_priors(spark, weighed: DataFrame, sizes: dict[str, int], whole: int) -> tuple[DataFrame, dict[str, float]]:
+    """Priors (source, prior) that stand still, and those of all documents; at most sources times chains, both bounded here."""
+    priors: dict[tuple[str, str], float] = {}
+
+    def tables() -> tuple[DataFrame, dict[str, float]]:
+        own: dict[str, dict[str, float]] = {}
+        for (s, c), p in priors.items():
+            own.setdefault(s, {})[c] = p
+        everywhere = own.pop("*", {})
+        return F.broadcast(spark.createDataFrame(sorted(own.items()), "source string, prior map<string,double>")), everywhere
+
+    for _ in range(ROUNDS):
+        sums = _scored(weighed, *tables()).groupBy("source", "chain").agg(F.sum("posterior").alias("p")).collect()
+        overall: Counter[str] = Counter()
+        for r in sums:
+            overall[r.chain] += r.p
+        everywhere = _everywhere(overall, whole)
+        before, priors = priors, {
+            (r.source, r.chain): (r.p + SMOOTHING * max(PRIOR, everywhere[r.chain])) / (sizes[r.source] + SMOOTHING) for r in sums
+        } | {("*", c): max(PRIOR, x) for c, x in everywhere.items()}
+        if all(abs(p - before.get(k, PRIOR)) < STILL for k, p in priors.items()):
+            break
+    return tables()
+
+
+def _joined_priors(weighed: DataFrame, sizes: DataFrame, whole: int) -> tuple[DataFrame, dict[str, float]]:
+    """The same priors for any number of sources: a row per source and chain, joined; only those of all documents are collected."""
+    priors = weighed.sparkSession.createDataFrame([], "source string, chain string, p double")
+    everywhere: dict[str, float] = {}
+
+    def own() -> DataFrame:
+        return priors.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "p"))).alias("prior"))
+
+    for _ in range(ROUNDS):
+        sums = _scored(weighed, own(), everywhere).groupBy("source", "chain").agg(F.sum("posterior").alias("s")).checkpoint()
+        overall = {r.chain: r.s for r in sums.groupBy("chain").agg(F.sum("s").alias("s")).collect()}
+        known, everywhere = everywhere, {c: max(PRIOR, x) for c, x in _everywhere(overall, whole).items()}
+        if not everywhere:
+            break
+        usual = F.create_map(*(F.lit(x) for cp in sorted(everywhere.items()) for x in cp))[F.col("chain")]
+        moved = F.abs(F.col("p") - F.coalesce("q", F.lit(PRIOR)))
+        after = sums.join(sizes, "source").select("source", "chain", ((F.col("s") + SMOOTHING * usual) / (F.col("n") + SMOOTHING)).alias("p")).checkpoint()
+        change = after.join(priors.withColumnRenamed("p", "q"), ["source", "chain"], "left").agg(F.max(moved)).first()[0]
+        priors = after
+        if change < STILL and all(abs(p - known.get(c, PRIOR)) < STILL for c, p in everywhere.items()):
+            break
+    return own(), everywhere
 
 
 def garbled_documents(documents: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:

@@ -248,6 +248,30 @@ def test_fields_and_sources_are_pooled_apart(spark, monkeypatch):
     assert {r.doc_id for r in got if r.field == "text"} == {*bad, 8004} and {r.doc_id for r in got if r.field == "title"} == {8004}
 
 
+def test_all_pairs_are_in_the_model(spark, monkeypatch):
+    df, bad = corpus(spark)
+    held = garbled._model(df)
+    want = {(r.doc_id, r.chain, r.repaired) for r in garbled.repaired_documents(df).collect()}
+    monkeypatch.setattr(garbled, "MAX_PAIRS", 50)
+    filed = garbled._model(df)
+    assert isinstance(filed.pairs, garbled.PairFile) and filed.pairs.size == len(held.pairs) > 50
+    assert (filed.left, filed.right, filed.total) == (held.left, held.right, held.total)
+    assert all(filed.pairs.get(k) == n for k, n in held.pairs.items()) and filed.pairs.get(("\U0001f000", "é")) == 0
+    assert all(filed.cost(t) == held.cost(t) for _, x in bad.values() for t in garbled.tokens_of(x))
+    assert {(r.doc_id, r.chain, r.repaired) for r in garbled.repaired_documents(df).collect()} == want
+
+
+def test_every_source_has_its_own_prior(spark, monkeypatch):
+    df, _ = corpus(spark)
+    df = df.selectExpr("doc_id", "text", "CASE WHEN doc_id >= 9000 THEN concat('s', doc_id % 4) ELSE concat('t', doc_id % 5) END AS source")
+    key = lambda r: (str(r.doc_id), r.field, r.source, r.row, r.chain)
+    want = {key(r): r.clean for r in garbled.judged(df).collect()}
+    monkeypatch.setattr(garbled, "MAX_SOURCES", 2)
+    got = {key(r): r.clean for r in garbled.judged(df).collect()}
+    assert want and got == pytest.approx(want, abs=1e-9)
+    assert garbled.judged(df.limit(0)).count() == 0
+
+
 def test_neighbours_without_a_bar(spark):
     m = np.random.default_rng(5).standard_normal((600, 32))
     m[1] = m[0]
